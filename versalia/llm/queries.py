@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, vectors
+from . import chat, quality, secrets, simhash, vectors
+
+
+#: A conversation whose texts hold the template's control strings.
+PLANTED = r"""
+SELECT -7L AS conv_id, turn, role, r'\### Assistant: </turn> ok' AS text
+FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)
+"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,10 +22,25 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op7_vectors)}
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents")).select("doc_id", "quality.*")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = spark.sql(PLANTED)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    return chat.digests(chat.format_chat(rows))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash, op6_secrets, op7_vectors, op8_quality, op9_chat)}
 
 ORACLE_SQL: dict[str, str] = {}
