@@ -57,7 +57,7 @@ def format_chat(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", r
 def parse(formatted: Column) -> Column:
     """The turns of a formatted conversation: array of (role, text)."""
     pieces = F.split(formatted, CLOSE)
-    pattern = r"(?s)^### ((?:[^\\:]|\\.)*): (.*)$"
+    pattern = r"(?s)^### ([^\\:]*+(?:\\.[^\\:]*+)*+): (.*)$"
     return F.transform(
         F.filter(pieces, lambda p: p != ""),
         lambda p: F.struct(unescape(F.regexp_extract(p, pattern, 1)).alias("role"), unescape(F.regexp_extract(p, pattern, 2)).alias("text")),

@@ -64,6 +64,17 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def salted_join(rows: DataFrame, per_key: DataFrame, keys: list[str], spread: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """Join many ``rows`` to the one row of ``per_key`` that has their key, by (key, salt).
+
+    Rows are dealt over ``salts`` by a hash of the column ``spread``, so a key that holds a
+    large part of all rows is no single task; ``per_key``, one row a key, is repeated.
+    """
+    few = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    many = rows.withColumn("_salt", F.pmod(F.xxhash64(spread, F.lit(1)), F.lit(salts)).cast("int"))
+    return many.join(few, [*keys, "_salt"], how).drop("_salt")
+
+
 def by_key(df: DataFrame, keys: list[str], fn: Callable, schema: str) -> DataFrame:
     """Run ``fn(frame, starts)`` over rows hash-dealt and sorted by the non-null ``keys``.
 
@@ -109,9 +120,7 @@ def bucket_blocks(rows: DataFrame, keys: list[str], row_id: str, block: int, sal
         rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
         .select(*keys, F.ceil(F.col("_n") / block).cast("int").alias("_nb"))
     )
-    sizes = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    met = rows.withColumn("_salt", F.pmod(F.xxhash64(row_id, F.lit(1)), F.lit(salts)).cast("int"))
-    met = met.join(sizes, [*keys, "_salt"]).drop("_salt")
+    met = salted_join(rows, sizes, keys, row_id, salts=salts)
     blk = F.pmod(F.xxhash64(row_id), F.col("_nb")).cast("int")
     return (
         met.withColumn("blk", blk)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, quality, secrets, simhash, vectors
+from . import bpe, chat, packing, quality, secrets, simhash, vectors, warc
 
 
+TOKENIZER, END_OF_TEXT = "byte_bpe_50k.json", 50256
 #: A conversation whose texts hold the template's control strings.
 PLANTED = r"""
 SELECT -7L AS conv_id, turn, role, r'\### Assistant: </turn> ok' AS text
@@ -22,6 +25,18 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(TOKENIZER)
+    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, keep_text=False)
+    told = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_sha256(F.col("ids")).alias("ids_sha256"), "ids")
+    return bpe.decode(told, path, keep_ids=False).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(TOKENIZER), keep_text=False)
+    return packing.summary(packing.written(packing.pack(ids, END_OF_TEXT)))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -41,6 +56,10 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chat(rows))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op6_secrets, op7_vectors, op8_quality, op9_chat)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash, op4_bpe, op5_packing, op6_secrets, op7_vectors, op8_quality, op9_chat, op10_warc)}
 
 ORACLE_SQL: dict[str, str] = {}
