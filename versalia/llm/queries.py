@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, packing, quality, secrets, simhash, vectors, warc
+from . import bpe, chat, mixing, packing, quality, secrets, simhash, toxicity, vectors, warc
 
 
 TOKENIZER, END_OF_TEXT = "byte_bpe_50k.json", 50256
@@ -21,10 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(TOKENIZER)
     ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, keep_text=False)
@@ -60,6 +68,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op4_bpe, op5_packing, op6_secrets, op7_vectors, op8_quality, op9_chat, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_mixing, op4_bpe, op5_packing, op6_secrets, op7_vectors, op8_quality, op9_chat, op10_warc)}
 
 ORACLE_SQL: dict[str, str] = {}
