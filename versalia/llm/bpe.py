@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 
 #: The pre-tokenizer's pattern, a fixed value of the format.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Cached pieces and tested pairs a worker keeps; beyond it starts anew.
-CACHED = 400_000
+#: Cached strings and tested pairs a worker keeps; beyond it starts anew.
+CACHED = 300_000
 LONGEST_CACHED = 64
+#: Marks that end a word as a piece of their own.
+COMMON_ENDS = (".", ",", ";", ":", "?", "!")
 #: Token ids a worker holds before it hands a batch on.
-IDS_AT_ONCE = 1 << 21
+IDS_AT_ONCE = 1 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -80,8 +82,11 @@ class Encoder:
         for t, n in number.items():
             self.suffixes.add_word("".join(chr(vocabulary.alphabet[c]) for c in t), (n, self.size[n]))
         self.suffixes.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.cache = _Cache(self.encode_piece)
+        self.pairs: dict[int, bool] = {}
+        self.cache = _Cache(self.encode_piece, CACHED // 2)
+        self.spaced, self.lined = (_Cache(lambda x, lead=lead: self.encode_chunk(lead, x), CACHED) for lead in " \n")
+        self.open = regex.compile(r"\s").match
+        self.ends = regex.compile(r"\s\Z").search
 
     def fits(self, left: int, right: int) -> bool:
         """Whether ``left`` and ``right`` stay apart: merging never joins across their boundary.
@@ -105,52 +110,86 @@ class Encoder:
         """Ids of one piece, as int32 in native order."""
         text = piece.encode().decode("latin-1")
         last = [-1] * (len(text) + 1)
+        last[0] = 0
         pairs, size = self.pairs, self.size
         for end, (token, length) in self.suffixes.iter(text):
             if last[end + 1] < 0:
                 before = end + 1 - length
-                if not before:
-                    last[end + 1] = token
-                    continue
-                pair = last[before], token
-                fit = pairs.get(pair)
-                if fit is None:
-                    if len(pairs) >= CACHED:
-                        pairs.clear()
-                    fit = pairs[pair] = self.fits(*pair)
-                if fit:
-                    last[end + 1] = token
+                if before:
+                    fit = pairs.get(last[before] << 20 | token)
+                    if fit is None:
+                        if len(pairs) >= CACHED:
+                            pairs.clear()
+                        fit = pairs[last[before] << 20 | token] = self.fits(last[before], token)
+                    if not fit:
+                        continue
+                last[end + 1] = token
         out, at = [], len(text)
         while at:
             out.append(last[at])
             at -= size[last[at]]
-        return b"".join(map(self.id.__getitem__, reversed(out)))
+        out.reverse()
+        return b"".join(map(self.id.__getitem__, out))
+
+    def encode_chunk(self, lead: str, rest: str) -> bytes:
+        """Ids of ``lead`` (one space or line feed) and what follows up to the next.
+
+        The pre-tokenizer always cuts where white space follows anything else, so such chunks can be
+        encoded apart; if ``rest`` is empty or has white space at an end, they can't.
+        """
+        if rest.isalpha():
+            return self.encode_piece(lead + rest) if lead == " " else self.cache[lead] + self.cache[rest]
+        if lead == " " and rest[-1:] in COMMON_ENDS and rest[:-1].isalpha():
+            return self.spaced[rest[:-1]] + self.cache[rest[-1]]
+        if not rest or self.open(rest) or self.ends(rest):
+            raise _Runs
+        return b"".join(map(self.cache.__getitem__, self.pieces(lead + rest)))
+
+    def encode_plain(self, text: str) -> bytes:
+        """Ids of a text without special tokens."""
+        lines = text.split("\n")
+        first, *rest = lines[0].split(" ")
+        try:
+            if self.ends(first):
+                raise _Runs
+            out = [*map(self.cache.__getitem__, self.pieces(first)), *map(self.spaced.__getitem__, rest)]
+            for line in lines[1:]:
+                first, *rest = line.split(" ")
+                out.append(self.lined[first])
+                out += map(self.spaced.__getitem__, rest)
+        except _Runs:
+            out = map(self.cache.__getitem__, self.pieces(text))
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, as int32 in native order; strings of special tokens become those."""
         import numpy as np
 
-        if self.marks is None or not self.marks.search(text):
-            return b"".join(map(self.cache.__getitem__, self.pieces(text)))
+        if not any(t in text for t in self.special):
+            return self.encode_plain(text)
         out, at = [], 0
         for m in self.marks.finditer(text):
-            out += [*map(self.cache.__getitem__, self.pieces(text[at : m.start()])), np.int32(self.special[m[0]]).tobytes()]
+            out += [self.encode_plain(text[at : m.start()]), np.int32(self.special[m[0]]).tobytes()]
             at = m.end()
-        return b"".join([*out, *map(self.cache.__getitem__, self.pieces(text[at:]))])
+        return b"".join([*out, self.encode_plain(text[at:])])
+
+
+class _Runs(Exception):
+    """White space runs: the text must be cut as a whole."""
 
 
 class _Cache(dict):
-    """Ids of pieces met before."""
+    """Ids of strings met before, of short ones and not too many."""
 
-    def __init__(self, make) -> None:
-        self.make = make
+    def __init__(self, make, most: int) -> None:
+        self.make, self.most = make, most
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.make(piece)
-        if len(piece) <= LONGEST_CACHED:
-            if len(self) >= CACHED:
+    def __missing__(self, text: str) -> bytes:
+        ids = self.make(text)
+        if len(text) <= LONGEST_CACHED:
+            if len(self) >= self.most:
                 self.clear()
-            self[piece] = ids
+            self[text] = ids
         return ids
 
 
