@@ -19,6 +19,41 @@ WINDOW = 1 << 21
 WINDOW_ROWS = 20_000
 
 
+def token_ids(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """``docs`` with ``ids array<int>`` in place of the text, by the tiktoken rank file at ``ranks``.
+
+    Null texts count as empty; strings of special tokens are ordinary text.
+    """
+    with open(ranks, "rb") as f:
+        sent = docs.sparkSession.sparkContext.broadcast(f.read())
+    kept = [f for f in docs.schema if f.name not in (text, ids)]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{ids}` array<int>"])
+
+    def run(batches):
+        import base64
+
+        import numpy as np
+        import pyarrow as pa
+        import tiktoken
+
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, sent.value.splitlines())}
+        encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        for batch in batches:
+            texts, at = batch.column(text), 0
+            while at < len(texts):
+                held, total, first = [], 0, at
+                while at < len(texts) and total < 1 << 20:
+                    held.append(np.array(encode(texts[at].as_py() or ""), np.int32))
+                    total += len(held[-1])
+                    at += 1
+                ends = pa.array(np.cumsum([0, *map(len, held)], dtype=np.int32))
+                part = batch.slice(first, at - first)
+                array = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(held)))
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), array], [*(f.name for f in kept), ids])
+
+    return docs.mapInArrow(run, schema)
+
+
 class Capacities:
     """Open bins by the room left in them; finds the tightest that takes a length."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from . import bpe, chat, mixing, packing, quality, secrets, simhash, toxicity, vectors, warc
 
 
-TOKENIZER, END_OF_TEXT = "byte_bpe_50k.json", 50256
+TOKENIZER, RANKS, END_OF_TEXT = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", 50256
 #: A conversation whose texts hold the template's control strings.
 PLANTED = r"""
 SELECT -7L AS conv_id, turn, role, r'\### Assistant: </turn> ok' AS text
@@ -41,7 +41,8 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(TOKENIZER), keep_text=False)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = packing.token_ids(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     return packing.summary(packing.written(packing.pack(ids, END_OF_TEXT)))
 
 
