@@ -15,15 +15,17 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 #: The pre-tokenizer's pattern, a fixed value of the format.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Cached strings and tested pairs a worker keeps; beyond it starts anew.
-CACHED = 300_000
+CACHED = 200_000
 LONGEST_CACHED = 64
 #: Marks that end a word as a piece of their own.
 COMMON_ENDS = (".", ",", ";", ":", "?", "!")
 #: Token ids a worker holds before it hands a batch on.
-IDS_AT_ONCE = 1 << 20
+IDS_AT_ONCE = 1 << 19
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -211,8 +213,8 @@ class Decoder:
         import numpy as np
 
         parts = []
-        for a in range(0, len(ids), 1 << 18):
-            i = ids[a : a + (1 << 18)]
+        for a in range(0, len(ids), 1 << 16):
+            i = ids[a : a + (1 << 16)]
             i = np.where((i >= 0) & (i < len(self.size)), i, len(self.size) - 1)
             size = self.size[i]
             ends = np.cumsum(size)
@@ -239,6 +241,7 @@ def _read(path: str) -> bytes:
 
 def _extended(df: DataFrame, drop: str | None, out: str, kind: str, make) -> DataFrame:
     """``df`` without ``drop``, with the column ``out``: ``make(batch)`` yields (rows, array) parts."""
+    text_batches(df.sparkSession)
     kept = [f for f in df.schema if f.name not in (drop, out)]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{out}` {kind}"])
 

@@ -23,6 +23,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send at most ``rows`` rows at a time to Python workers: texts are long, and the session's default is 10,000."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, text_batches
 
 WINDOW, STRIDE = 16, 8
 BUCKETS = 1 << 17
@@ -27,10 +27,19 @@ MOST_DOCS = 2500
 MOST_WINDOWS = 48
 EPOCHS = 8
 SEED = 5
-CACHED = 400_000
+CACHED = 250_000
 
 
-def grams(words: list[str]):
+def grams(words: list[str], at_once: int = 20_000):
+    """:func:`hashed_grams` of many words in bounded memory."""
+    import numpy as np
+
+    parts = [hashed_grams(words[a : a + at_once]) for a in range(0, len(words), at_once)]
+    shift = np.cumsum([0, *(len(ids) for ids, _ in parts)])
+    return np.concatenate([ids for ids, _ in parts]), np.concatenate([starts + n for (_, starts), n in zip(parts, shift, strict=False)])
+
+
+def hashed_grams(words: list[str]):
     """(bucket ids, starts): hashed n-grams of each word in ``<word>`` form, then the word's own bucket."""
     import numpy as np
 
@@ -57,7 +66,7 @@ def grams(words: list[str]):
     ids, of = np.concatenate(hashed), np.concatenate(owner)
     order = np.argsort(of, kind="stable")
     ids = (ids ^ ids >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-    buckets = (ids >> np.uint64(40)).astype(np.int64)[order] % BUCKETS
+    buckets = (ids >> np.uint64(40)).astype(np.int32)[order] % np.int32(BUCKETS)
     return buckets, np.searchsorted(of[order], np.arange(len(marked)))
 
 
@@ -116,7 +125,7 @@ def fit(docs: list[list[str]], labels: list[int], prior: float, epochs: int = EP
     number = {x: n for n, x in enumerate(vocabulary)}
     ids, starts = grams(vocabulary) if vocabulary else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     counts = np.diff([*starts, len(ids)])
-    toks = [np.array([number[x] for x in w]) for _, w in windows]
+    toks = [np.array([number[x] for x in w], np.int32) for _, w in windows]
     of, y = np.array([i for i, _ in windows]), np.array([labels[i] for i, _ in windows])
     e = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     w = rng.normal(0, 1, (DIM, 2)).astype(np.float32)
@@ -207,6 +216,7 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", most_docs: int = MOST_DOCS, most_windows: int = MOST_WINDOWS) -> Model:
     """Fit on a bounded sample: ``most_docs`` labelled documents of a class (smallest hashes of their
     ids), ``most_windows`` windows of each, evenly spread over its text."""
+    text_batches(docs.sparkSession)
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     counted = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     prior = counted.get(1, 0) / max(1, sum(counted.values()))
@@ -240,6 +250,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score",
     """``docs``, with or without the text, with ``out double``: whole texts scored, null and empty ones too."""
     kept = [f for f in docs.schema if f.name != out and (keep_text or f.name != text)]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{out}` double"])
+    text_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -254,7 +265,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score",
             at = 0
             while at < len(texts):
                 held, size = [], 0
-                while at < len(texts) and size < 1 << 20:
+                while at < len(texts) and size < 1 << 18:
                     x = texts[at].as_py() or ""
                     held.append(x.lower().split())
                     size += len(x)
