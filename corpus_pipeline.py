@@ -37,10 +37,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether decoding them gives the text back."""
-    path = public_tokenizers.path(TOKENIZER)
-    ids = bpe.encode(docs.select("doc_id", "source", "text"), path)
-    told = bpe.decode(ids, path)
-    return told.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", bpe.ids_sha256(F.col("ids")).alias("ids_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    told = bpe.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path(TOKENIZER), decoded="decoded")
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return told.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", bpe.ids_sha256(F.col("ids")).alias("ids_sha256"), same.alias("round_trip"))
 
 
 STAGES = [

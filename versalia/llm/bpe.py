@@ -20,7 +20,7 @@ from .common import text_batches
 #: The pre-tokenizer's pattern, a fixed value of the format.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Cached strings and tested pairs a worker keeps; beyond it starts anew.
-CACHED = 200_000
+CACHED = 120_000
 LONGEST_CACHED = 64
 #: Marks that end a word as a piece of their own.
 COMMON_ENDS = (".", ",", ";", ":", "?", "!")
@@ -85,8 +85,8 @@ class Encoder:
             self.suffixes.add_word("".join(chr(vocabulary.alphabet[c]) for c in t), (n, self.size[n]))
         self.suffixes.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.cache = _Cache(self.encode_piece, CACHED // 2)
-        self.spaced, self.lined = (_Cache(lambda x, lead=lead: self.encode_chunk(lead, x), CACHED) for lead in " \n")
+        self.cache = _Cache(self.encode_piece, CACHED // 4)
+        self.spaced, self.lined = (_Cache(lambda x, lead=lead: self.encode_chunk(lead, x), most) for lead, most in ((" ", CACHED), ("\n", CACHED // 4)))
         self.open = regex.compile(r"\s").match
         self.ends = regex.compile(r"\s\Z").search
 
@@ -239,32 +239,33 @@ def _read(path: str) -> bytes:
         return f.read()
 
 
-def _extended(df: DataFrame, drop: str | None, out: str, kind: str, make) -> DataFrame:
-    """``df`` without ``drop``, with the column ``out``: ``make(batch)`` yields (rows, array) parts."""
+def _extended(df: DataFrame, drop: str | None, outs: dict[str, str], make) -> DataFrame:
+    """``df`` without ``drop``, with the columns ``outs`` (name: type): ``make(batch)`` yields (rows, arrays) parts."""
     text_batches(df.sparkSession)
-    kept = [f for f in df.schema if f.name not in (drop, out)]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{out}` {kind}"])
+    kept = [f for f in df.schema if f.name != drop and f.name not in outs]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"`{k}` {v}" for k, v in outs.items())])
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             at = 0
-            for n, array in make(batch):
+            for n, arrays in make(batch):
                 part = batch.slice(at, n)
                 at += n
-                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), array], [*(f.name for f in kept), out])
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *arrays], [*(f.name for f in kept), *outs])
 
     return df.mapInArrow(run, schema)
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep_text: bool = True) -> DataFrame:
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep_text: bool = True, decoded: str | None = None) -> DataFrame:
     """``df`` with a column ``ids array<int>``: the encoding of ``text`` by the tokenizer file at ``path``.
 
     Whole texts are encoded; null and empty texts give no ids. Strings of special tokens in a text
-    become those tokens, no others are added. The file is read on the driver and sent to the
-    workers (a few MB, whatever the input). Rows are handled one by one: repeated rows, ties and
-    empty tables need no rule; other columns pass through, one named ``ids`` is replaced.
+    become those tokens, no others are added. With ``decoded``, a column of that name has the
+    text that the ids decode to, made in the same pass. The file is read on the driver and sent
+    to the workers (a few MB, whatever the input). Rows are handled one by one: repeated rows, ties
+    and empty tables need no rule; other columns pass through, those named like an output are replaced.
     """
     sent = df.sparkSession.sparkContext.broadcast(_read(path))
 
@@ -277,7 +278,11 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep_
 
         def part():
             ends = np.cumsum([0, *(len(b) // 4 for b in held)], dtype=np.int32)
-            return len(held), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(held), np.int32)))
+            arrays = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(held), np.int32)))]
+            if decoded:
+                decoder = _worker(Decoder, sent.value)
+                arrays.append(pa.array([decoder.decode(np.frombuffer(b, np.int32)) for b in held], pa.string()))
+            return len(held), arrays
 
         for x in batch.column(text):
             held.append(encoder.encode(x.as_py() or ""))
@@ -288,7 +293,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep_
         if held:
             yield part()
 
-    return _extended(df, None if keep_text else text, ids, "array<int>", make)
+    return _extended(df, None if keep_text else text, {ids: "array<int>"} | ({decoded: "string"} if decoded else {}), make)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", keep_ids: bool = True) -> DataFrame:
@@ -307,9 +312,9 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", kee
         for x in batch.column(ids):
             values = x.values
             texts.append("" if values is None else decoder.decode(np.asarray(values.fill_null(-1), dtype=np.int64)))
-        yield len(texts), pa.array(texts, pa.string())
+        yield len(texts), [pa.array(texts, pa.string())]
 
-    return _extended(df, None if keep_ids else ids, out, "string", make)
+    return _extended(df, None if keep_ids else ids, {out: "string"}, make)
 
 
 def ids_sha256(ids: Column) -> Column:

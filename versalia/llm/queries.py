@@ -34,10 +34,9 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(TOKENIZER)
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, keep_text=False)
-    told = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_sha256(F.col("ids")).alias("ids_sha256"), "ids")
-    return bpe.decode(told, path, keep_ids=False).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    told = bpe.encode(docs, public_tokenizers.path(TOKENIZER), keep_text=False, decoded="decoded")
+    return told.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_sha256(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

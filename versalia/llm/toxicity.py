@@ -27,7 +27,7 @@ MOST_DOCS = 2500
 MOST_WINDOWS = 48
 EPOCHS = 8
 SEED = 5
-CACHED = 250_000
+CACHED = 120_000
 
 
 def grams(words: list[str], at_once: int = 20_000):
