@@ -10,6 +10,7 @@ source is left and rounded. So a source's words differ from its target by one do
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,14 +73,14 @@ def settle(share, size, draw):
 
 
 def copies(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: str = "size", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED, row: str | None = None) -> DataFrame:
-    """``(doc_id, size, source_size, target, taken, copies)`` and ``row``, if named: one row per row of ``docs``.
+    """``(doc_id, size, source_size, target, taken, copies)`` and, if ``row`` lists columns, a struct ``row`` of them: one row per row of ``docs``.
 
     ``taken`` = ``copies`` * ``size``. Null sizes count as 0; documents of size 0 carry no words and
     are kept once. Sources are compared as they are, null being one of them. Reruns agree: draws
     depend on the seed, the source and the bucket, and rows of a bucket go from large to small,
     ties by id. An empty table gives an empty result; other columns are not read.
     """
-    carried = [F.col(row).alias("row")] if row else [F.lit(None).cast("long").alias("row")]
+    carried = [F.struct(*(c.strip() for c in row.split(","))).alias("row")] if row else [F.lit(None).cast("long").alias("row")]
     key = F.concat(F.when(F.col(source).isNull(), "0").otherwise("1"), F.coalesce(F.col(source).cast("string"), F.lit("")))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), key.alias("key"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"), *carried)
     per = materialize(targets(rows, weights, most), "mix-sources")
@@ -139,8 +140,17 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
 
 
 def apply_mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
-    """``docs`` with every row repeated as often as the mix takes it; rows it doesn't take go."""
-    named = materialize(docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_size", word_count(F.col(text)).cast("long")), "mix-rows")
-    taken = copies(named.select(doc_id, source, "_size", "_row"), doc_id, source, "_size", row="_row", **options).filter("copies > 0").select("row", "copies")
-    met = named.drop("_size").join(taken, F.col("_row") == F.col("row"))
+    """``docs`` with every row repeated as often as the mix takes it; rows it doesn't take go.
+
+    Rows of a table in files are named by file and place; any other frame is written out first.
+    """
+    try:
+        named = docs.select("*", F.concat_ws(":", "_metadata.file_path", "_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        docs = materialize(docs, "mix-rows")
+        named = docs.select("*", F.concat_ws(":", "_metadata.file_path", "_metadata.row_index").alias("_row"))
+    sizes = materialize(named.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).cast("long").alias("size"), F.xxhash64("_row").alias("half"), F.xxhash64(F.lit(1), "_row").alias("other")), "sizes")
+    taken = copies(sizes, row="half, other", **options).filter("copies > 0").select("row.half", "row.other", "copies")
+    # the copies grow with the corpus: dealt out, never broadcast
+    met = named.withColumn("half", F.xxhash64("_row")).withColumn("other", F.xxhash64(F.lit(1), "_row")).join(taken.hint("merge"), ["half", "other"])
     return met.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)

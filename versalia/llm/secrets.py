@@ -132,15 +132,18 @@ def _masked(text: Column, spans: Column) -> Column:
 def mask_secrets(docs: DataFrame, text: str = "text", repository: str = "source") -> DataFrame:
     """``docs`` with every span of :func:`find_secrets` replaced by the mask; ``n_chars``, if there, follows.
 
-    Only rows with a candidate beyond the base patterns wait for the ownership counts.
+    Only rows with a candidate beyond the base patterns wait for the ownership counts; they alone are
+    written out with their texts, the others are scanned again.
     """
     columns = docs.columns
-    scanned = materialize(scan(docs, text, repository), "secrets-text")
-    some = scanned.filter(F.size("candidates") > 0)
-    judged = _judged(scanned.select("row_no", repository, "spans", "candidates"), repository).select("row_no", "all_spans")
-    extra = some.join(judged, "row_no", "left").withColumn("spans", F.coalesce("all_spans", F.expr("transform(spans, x -> struct(x.s, x.kind, x.e))"))).drop("all_spans")
-    rest = scanned.filter(F.size("candidates") == 0).withColumn("spans", F.expr("transform(spans, x -> struct(x.s as s, x.kind as kind, x.e as e))"))
-    both = rest.select(*columns, "spans").unionByName(extra.select(*columns, "spans"))
+    scanned = scan(docs, text, repository)
+    waits = F.size("candidates") > 0
+    slim = materialize(scanned.select("row_no", F.col(repository).alias("repo_"), "spans", "candidates", F.when(waits, F.struct(*columns)).alias("doc")), "secrets-mask")
+    judged = _judged(slim.select("row_no", "repo_", "spans", "candidates"), "repo_").select("row_no", "all_spans")
+    bare = "transform(spans, x -> struct(x.s as s, x.kind as kind, x.e as e))"
+    extra = slim.filter("doc is not null").join(judged, "row_no", "left").select("doc.*", F.coalesce("all_spans", F.expr(bare)).alias("spans"))
+    rest = scanned.filter(~waits).select(*columns, F.expr(bare).alias("spans"))
+    both = rest.unionByName(extra)
     out = both.withColumn(text, _masked(F.col(text), F.col("spans")))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length(text).cast("long"))

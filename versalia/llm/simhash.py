@@ -205,5 +205,5 @@ def keep_one(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataF
     Of repeated rows with that id one stays; rows with a null id stay.
     """
     kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    first = docs.filter(F.col(doc_id).isNotNull()).join(kept, F.col(doc_id) == F.col("_kept"), "left_semi").dropDuplicates([doc_id])
+    first = docs.filter(F.col(doc_id).isNotNull()).join(kept.hint("merge"), F.col(doc_id) == F.col("_kept"), "left_semi").dropDuplicates([doc_id])
     return first.unionByName(docs.filter(F.col(doc_id).isNull()))
