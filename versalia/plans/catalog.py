@@ -2,5 +2,185 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import casing as C
+from ..operators import prepare as P
+from ..operators import recase as R
+from ..operators.tokens import reconstruct, tokenize
+from ..options import CaseMode, CaseOptions, GermanMode, SeparatorStyle
+from ..sources import registry, samples
+from . import oracle as O
+
+LANGS = ("en", "de", "fr", "es")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.filter(F.col("lang") == lang) if lang else docs
+
+
+def _named(df: DataFrame) -> DataFrame:
+    return df.withColumnRenamed("key", "doc_id")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentence case of every document under the rules of its language."""
+    parts = [R.recase(_docs(spark, sf_dir, x), CaseOptions(locale=x)) for x in LANGS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return _named(out)
+
+
+def recased(spark: SparkSession, sf_dir: str, options: CaseOptions, upper: str = "") -> DataFrame:
+    docs = _docs(spark, sf_dir, options.language)
+    if upper:
+        docs = docs.withColumn("text", getattr(F, upper)("text"))
+    return _named(R.recase(docs, options))
+
+
+def token_counts_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize(_docs(spark, sf_dir), "doc_id", "text").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def token_offsets_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tokenize(_docs(spark, sf_dir), "doc_id", "text")
+    end = F.sum(F.octet_length("raw")).over(Window.partitionBy("key").orderBy("pos"))
+    t = t.withColumn("src_end", end)
+    return _named(t.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("src_end").alias("sum_end"), F.max("src_end").alias("n_bytes")))
+
+
+def reconstruct_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    back = reconstruct(tokenize(docs, "doc_id", "text"), "raw")
+    return docs.join(back, docs["doc_id"] == back["key"]).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("text") == F.col("output")).alias("n_same"))
+
+
+def words_of_class(spark: SparkSession, sf_dir: str, of) -> DataFrame:
+    return tokenize(_docs(spark, sf_dir), "doc_id", "text").filter(F.col("kind") == "word").filter(of(F.col("raw"))).groupBy(F.col("raw").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def sentence_counts(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
+    t = R.contexts(tokenize(_docs(spark, sf_dir, lang), "doc_id", "text"), CaseOptions(locale=lang))
+    n = lambda c: F.count_if(F.col(c)).alias(f"n_{c}")
+    return _named(t.groupBy("key").agg(n("boundary"), n("starts"), F.max("sent").cast("long").alias("last_sentence"), F.count_if(F.col("shouting") & F.col("starts")).alias("n_shouting"), F.count_if(F.col("title_like") & F.col("starts")).alias("n_title_like")))
+
+
+def rule_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = R.spans(_docs(spark, sf_dir, "en"), CaseOptions()).filter("rule <> 'WhitespaceCollapsed'")
+    return s.groupBy("rule", "confidence").agg(F.count(F.lit(1)).alias("n"), F.count_if("changed").alias("n_changed"), F.sum(F.col("out_end") - F.col("out_start")).alias("out_bytes"))
+
+
+def checksum_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+def sources_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.sources_df(spark)
+
+
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat_ws(" - ", "p_name", F.lower("p_type")).alias("text"))
+
+
+def separators(spark: SparkSession, sf_dir: str, style: SeparatorStyle) -> DataFrame:
+    return _named(R.recase(_titles(spark, sf_dir), CaseOptions(mode=CaseMode.SENTENCE_TITLE, separators=style)))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names as source records: aliases are the upper-case name and its first word."""
+    part = table(spark, sf_dir, "part")
+    return part.select(F.col("p_partkey").alias("rec_idx"), F.initcap("p_name").alias("canonical"), F.array(F.upper("p_name"), F.initcap(F.split("p_name", " ")[0])).alias("aliases"), (1 + F.pmod("p_partkey", F.lit(5))).cast("float").alias("score"))
+
+
+def built(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    return P.build(_records(spark, sf_dir), kind).select("key", "value", F.col("score").cast("double").alias("score"), F.col("ord").cast("long").alias("ord"))
+
+
+def parsed_sample(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
+    return samples.parse_sample(spark, source).select("canonical", F.array_join("aliases", "|").alias("aliases"), F.round(F.col("score").cast("double"), 4).alias("score"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (flagship, token_counts_by_kind, token_offsets_checksum, reconstruct_roundtrip, rule_histogram, checksum_text, sources_catalog)
+}
+QUERIES |= {f"sentence_case_{x}": partial(recased, options=CaseOptions(locale=x)) for x in LANGS}
+QUERIES |= {f"sentence_counts_{x}": partial(sentence_counts, lang=x) for x in LANGS}
+QUERIES |= {
+    "acronym_words": partial(words_of_class, of=C.acronym),
+    "mixed_case_words": partial(words_of_class, of=C.mixed_case),
+    "simple_capitalized_words": partial(words_of_class, of=C.simple_capitalized),
+    "single_letter_words": partial(words_of_class, of=C.single_letter),
+    "sentence_case_shouted": partial(recased, options=CaseOptions(), upper="upper"),
+    "title_case_en": partial(recased, options=CaseOptions(mode=CaseMode.TITLE)),
+    "german_balanced": partial(recased, options=CaseOptions(locale="de", german_mode=GermanMode.BALANCED), upper="lower"),
+    "separator_rewrite_colon": partial(separators, style=SeparatorStyle.COLON_SPACE),
+    "separator_rewrite_dash": partial(separators, style=SeparatorStyle.SPACE_DASH_SPACE),
+    "separator_rewrite_emdash": partial(separators, style=SeparatorStyle.EM_DASH_SPACE),
+}
+QUERIES |= {f"build_{k.replace('-', '_')}": partial(built, kind=k) for k in P.KINDS}
+QUERIES |= {f"source_{k.replace('-', '_')}": partial(parsed_sample, source=k) for k in samples.PARSERS}
+
+_ALL = "SELECT doc_id AS key, text FROM documents"
+_OF = {x: f"{_ALL} WHERE lang = '{x}'" for x in LANGS}
+
+
+def _class(test: str) -> str:
+    return O.tokens(_ALL) + f" SELECT raw AS word, count(*) AS n FROM k WHERE kind = 'word' AND {test} GROUP BY raw"
+
+
+def _title_sql(style: str) -> str:
+    """Part titles have two lower-case halves of plain words around one separator."""
+    cap = "upper(left({0}, 1)) || substr({0}, 2)"
+    first, second = cap.format("lower(p_name)"), cap.format("lower(p_type)")
+    return f"SELECT p_partkey AS doc_id, {first} || '{style}' || {second} AS output, 'Solid' AS confidence, len(string_split(p_name, ' ')) + len(string_split(p_type, ' ')) AS n_words FROM part"
+
+
+#: Part names as records, and the (key, value) pairs that they and their aliases give; here a key has one value only.
+_PAIRS = """WITH r AS (SELECT 1 + p_partkey % 5 AS score, array_to_string(list_transform(string_split(lower(p_name), ' '), lambda x: upper(x[1]) || x[2:]), ' ') AS c FROM part),
+e AS (SELECT score, c AS v FROM r UNION ALL SELECT score, string_split(c, ' ')[1] FROM r)"""
+
+
+def _built(value: str = "max(v)", score: str = "NULL::DOUBLE", where: str = "true") -> str:
+    return f"{_PAIRS} SELECT lower(v) AS key, {value} AS value, {score} AS score, 0 AS ord FROM e WHERE {where} GROUP BY lower(v)"
+
+
+ORACLE_SQL = {
+    "flagship": " UNION ALL ".join(f"({O.output(_OF[x], x)})" for x in LANGS),
+    "token_counts_by_kind": O.tokens(_ALL) + " SELECT kind, count(*) AS n FROM k GROUP BY kind",
+    "token_offsets_checksum": O.tokens(_ALL) + ", e AS (SELECT key, sum(strlen(raw)) OVER (PARTITION BY key ORDER BY pos) AS src_end FROM k) SELECT key AS doc_id, count(*) AS n, sum(src_end) AS sum_end, max(src_end) AS n_bytes FROM e GROUP BY key",
+    "reconstruct_roundtrip": "SELECT count(*) AS n, count(*) AS n_same FROM documents WHERE text <> ''",
+    "rule_histogram": O.cascade(_OF["en"], "en") + " SELECT rule, CASE WHEN rule IN ('AcronymPreserved', 'ProperNounPreserved') THEN 'Heuristic' ELSE 'Solid' END AS confidence, count(*) AS n, count(*) FILTER (raw <> text) AS n_changed, sum(strlen(text)) AS out_bytes FROM c WHERE kind = 'word' GROUP BY rule",
+    "checksum_text": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
+    "sources_catalog": registry.oracle_sql(),
+    "acronym_words": _class(O.ACRONYM),
+    "mixed_case_words": _class(O.MIXED),
+    "simple_capitalized_words": _class(O.SIMPLE),
+    "single_letter_words": _class(r"regexp_matches(raw, '^\p{L}$')"),
+    "sentence_case_shouted": O.output("SELECT doc_id AS key, upper(replace(text, 'ß', 'ss')) AS text FROM documents WHERE lang = 'en'", "en"),
+    "title_case_en": O.output(_OF["en"], "en", title=True),
+    "german_balanced": O.output("SELECT doc_id AS key, lower(text) AS text FROM documents WHERE lang = 'de'", "de", balanced=True),
+    "build_canonical_map": _built(),
+    "build_multiword_map": _built(where="contains(v, ' ')"),
+    "build_protected_forms": _built(where="v IN (SELECT c FROM r)"),
+    "build_word_set": _built(value="NULL::VARCHAR"),
+    "build_ranked_candidates": _built(score="max(score)::DOUBLE"),
+    "separator_rewrite_colon": _title_sql(": "),
+    "separator_rewrite_dash": _title_sql(" - "),
+    "separator_rewrite_emdash": _title_sql(" — "),
+    **{f"sentence_case_{x}": O.output(_OF[x], x) for x in LANGS},
+    **{
+        f"sentence_counts_{x}": O.contexts(_OF[x], x)
+        + " SELECT key AS doc_id, count(*) FILTER (boundary) AS n_boundary, count(*) FILTER (starts) AS n_starts, max(sent) AS last_sentence, count(*) FILTER (shouting AND starts) AS n_shouting, count(*) FILTER (title_like AND starts) AS n_title_like FROM t GROUP BY key"
+        for x in LANGS
+    },
+}
