@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, packing, quality, secrets, simhash, toxicity, vectors, warc
+from . import bpe, chat, mixing, oracle, packing, quality, secrets, simhash, toxicity, vectors, warc
 
 
 TOKENIZER, RANKS, END_OF_TEXT = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", 50256
@@ -70,4 +70,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_mixing, op4_bpe, op5_packing, op6_secrets, op7_vectors, op8_quality, op9_chat, op10_warc)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op8_quality": oracle.OP8, "op9_chat": oracle.OP9, "op10_warc": oracle.OP10}
