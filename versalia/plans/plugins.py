@@ -11,15 +11,16 @@ from pyspark.sql import functions as F
 
 from ..operators import lexicon as L
 from ..operators import prepare as P
-from ..sources.registry import require
+from ..sources.fetch import SourceManifest
+from ..sources.registry import require, source
 
 GENERATED = "1970-01-01T00:00:00Z"
 NAMES = {"canonical-map", "multiword-map", "protected-forms"}
 
 
-def prepare(records: DataFrame, source: str, kind: str, locale: str = "und", acknowledged: tuple[str, ...] = ()) -> DataFrame:
-    """Source records as a lexicon of the long form; a licence that needs acknowledgement is checked first."""
-    require(source, kind, acknowledged)
+def prepare(records: DataFrame, name: str, kind: str, locale: str = "und", acknowledged: tuple[str, ...] = ()) -> DataFrame:
+    """Records of the source ``name`` as a lexicon of the long form; a licence that needs acknowledgement is checked first."""
+    require(name, kind, acknowledged)
     return P.build(records, kind).select(F.lit(kind).alias("kind"), F.lit(locale).alias("locale"), "key", "value", "score", "ord")
 
 
@@ -38,22 +39,83 @@ def _canonical(x) -> str:
     return json.dumps(x, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
 
 
-def write_json_plugin(lexicon: DataFrame, path: str, name: str, kind: str, locale: str) -> dict:
-    """One document, made on the driver: for plugins that are to be shipped as a file, not for corpora."""
-    payload = _payload(lexicon.collect(), kind)
-    checksum = hashlib.sha256(_canonical({"payload_kind": kind, "payload": payload}).encode()).hexdigest()
-    document = {"schema": {"major": 1, "minor": 0}, "name": name, "kind": kind, "locales": [locale], "generated_at": GENERATED, "checksum": checksum, "payload_kind": kind, "payload": payload}
+def described(name: str, manifest: SourceManifest | None = None) -> dict:
+    """License and provenance of what is made from a source."""
+    s = source(name)
+    return {
+        "license": {"name": s.about.license, "summary": s.about.purpose, "acknowledgement_flag": s.acknowledgement},
+        "sources": [{
+            "id": name, "display_name": s.about.title, "url": manifest.source_url if manifest else f"source://versalia/{name}",
+            "version": manifest.version if manifest else "user-supplied", "class": s.cls,
+        }],
+    }
+
+
+def _dump(document: dict, path: str | Path) -> dict:
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
     Path(path).write_text(json.dumps(document, ensure_ascii=False, indent=2), "utf-8")
     return document
 
 
+def write_prepared(lexicon: DataFrame, path: str, name: str, kind: str, locale: str = "und", manifest: SourceManifest | None = None) -> dict:
+    """A prepared lexicon of the source ``name`` as one document, made on the driver like a JSON plugin."""
+    body = {"payload_kind": kind, "payload": _payload(lexicon.collect(), kind)}
+    return _dump({"name": f"{name}-{kind}", "kind": kind, "locale": locale, **described(name, manifest), "generated_at": GENERATED, "payload": body}, path)
+
+
+def _plugin(name: str, kind: str, locale: str, payload, about: dict) -> dict:
+    checksum = hashlib.sha256(_canonical({"payload_kind": kind, "payload": payload}).encode()).hexdigest()
+    return {"schema": {"major": 1, "minor": 0}, "name": name, "kind": kind, "locales": [locale], **about, "generated_at": GENERATED, "checksum": checksum, "payload_kind": kind, "payload": payload}
+
+
+def write_json_plugin(lexicon: DataFrame, path: str, name: str, kind: str, locale: str) -> dict:
+    """One document, made on the driver: for plugins that are to be shipped as a file, not for corpora."""
+    return _dump(_plugin(name, kind, locale, _payload(lexicon.collect(), kind), {}), path)
+
+
+def build_plugin(spark: SparkSession, prepared: str, path: str, form: str = "json") -> dict:
+    """A prepared document as a plugin, JSON or table; returns the output's manifest.
+
+    A table has a metadata file ``<path>.meta.json`` beside it, and its checksum is the payload's.
+    """
+    given = json.loads(Path(prepared).read_text("utf-8"))
+    payload = given["payload"]["payload"]
+    document = _plugin(given["name"], given["kind"], given["locale"], payload, {k: given[k] for k in ("license", "sources")})
+    if form == "json":
+        _dump(document, path)
+        checksum = hashlib.sha256(Path(path).read_bytes()).hexdigest()
+    else:
+        write_table_plugin(_frame(spark, given["kind"], document["locales"], payload), path)
+        _dump({k: v for k, v in document.items() if k not in ("payload", "payload_kind")}, f"{path}.meta.json")
+        checksum = document["checksum"]
+    return {"input": str(prepared), "output": str(path), "format": form, "checksum": checksum}
+
+
+def inspect_plugin(spark: SparkSession, path: str) -> dict:
+    """Name, kind, entries, locales, sources, license and checksum of a plugin: ``.json``, or else a table."""
+    if Path(path).suffix == ".json":
+        told = json.loads(Path(path).read_text("utf-8"))
+        entries = len(told["payload"])
+    else:
+        told = json.loads(Path(f"{path}.meta.json").read_text("utf-8"))
+        entries = read_table_plugin(spark, path).select("key").distinct().count()
+    license_ = told.get("license") or {"name": "", "summary": ""}
+    return {
+        "name": told["name"], "kind": told["kind"], "entries": entries, "locales": ", ".join(told["locales"]), "sources": ", ".join(s["id"] for s in told.get("sources", [])),
+        "license": f"{license_['name']}: {license_['summary']}", "checksum": told["checksum"],
+    }
+
+
 def read_json_plugin(spark: SparkSession, path: str) -> DataFrame:
     """The lexicon of a JSON plugin, for each of its locales."""
     document = json.loads(Path(path).read_text("utf-8"))
-    kind, payload = document["payload_kind"], document["payload"]
+    return _frame(spark, document["payload_kind"], document["locales"], document["payload"])
+
+
+def _frame(spark: SparkSession, kind: str, locales: list[str], payload) -> DataFrame:
     rows = [
         (kind, place, *row)
-        for place in document["locales"]
+        for place in locales
         for row in (
             [(k, None, None, 0) for k in payload] if kind == "word-set"
             else [(k, c["value"], float(c["score"]), n) for k, cs in payload.items() for n, c in enumerate(cs)] if kind == "ranked-candidates"
