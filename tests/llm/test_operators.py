@@ -103,6 +103,14 @@ def test_vectors_agree_with_brute_force(spark):
     assert all(got[k]["n_links"] == 0 and got[k]["kept"] for k in range(100, 106))
 
 
+def test_vectors_with_repeated_and_null_ids(spark):
+    e = np.eye(4).tolist()
+    near = [1.0, 0.01, 0.0, 0.0]
+    rows = [(1, e[0], 0), (1, e[1], 0), (2, [0.01, 1.0, 0.0, 0.0], 0), (None, near, 0), (7, [1.0, 0.02, 0.0, 0.0], 0), (None, e[3], 0), (9, e[2], 0), (9, e[2], 0)]
+    got = sorted((tuple(r)[:3] for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()), key=str)
+    assert got == sorted([(1, 2, 1), (1, 1, 1), (2, 1, 1), (None, 2, 1), (7, 2, 1), (None, 0, None), (9, 1, 9), (9, 1, 9)], key=str)
+
+
 def test_mixing_meets_targets_and_repeats(spark):
     rng = random.Random(4)
     sources = [rng.choice(["a", "a", "a", "b", "c", None]) for _ in range(600)] + ["d"]

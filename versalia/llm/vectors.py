@@ -13,7 +13,7 @@ from math import acos, ceil, log, log2, pi
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_blocks, by_key, components, materialize
+from .common import bucket_blocks, by_key, components, materialize, salted_join
 
 THRESHOLD = 0.98
 #: Share of the pairs right at the threshold that must meet in some table.
@@ -41,16 +41,17 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, recall: float =
     Vectors link when their labels are equal and not null and their cosine (double precision)
     is at least the threshold; vectors of different lengths never do. Null, zero and empty
     vectors and those with null or non-finite components link with nothing. Repeated ids are
-    separate vectors. A null id takes part but is never a component's id and isn't kept.
+    separate vectors, whatever they hold. A null id takes part but is never a component's id,
+    unless all ids of the component are null, and isn't kept.
     Other columns are not read. Pairs at the threshold are missed with probability
     1 - ``recall``; nothing below it links.
     """
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("long").alias("label"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.col("label").isNotNull() & F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    kinds = rows.filter(usable).groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    kinds = materialize(kinds, "vector-classes")
-    reps = kinds.filter("node is not null").dropDuplicates(["node"])
+    kinds = rows.filter(usable).groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    # classes have numbers of their own: ids may repeat or be null
+    kinds = reps = materialize(kinds.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
     most = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     signs, tables = tables_for(most, threshold, recall)
 
@@ -119,8 +120,10 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, recall: float =
     met = materialize(by_key(full, ["label", "dim", "t", "key", "blk_a", "blk_b"], compare, "a long, b long, n long"), "vector-links")
     joined = components(met.filter("n = 0"))
     counts = met.filter("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
-    told = kinds.join(counts, "node", "left").join(joined, "node", "left").select(
-        "label", "embedding", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"),
+    of = materialize(kinds.select("node", "least").join(joined, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")), "vector-components")
+    named = salted_join(of.select("node", "component"), of.groupBy("component").agg(F.min("least").alias("component_id")), ["component"], "node")
+    told = kinds.join(counts, "node", "left").join(named, "node").select(
+        "label", "embedding", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id",
         F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
     )
     salted = rows.filter(usable).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int"))
