@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from tests.golden import CASES
 from versalia.operators import lexicon as L
-from versalia.operators.recase import recase, spans
+from versalia.operators.recase import recase, separable, spans
 from versalia.operators.tokens import reconstruct, tokenize
 from versalia.options import CaseMode, CaseOptions, SeparatorStyle
 from versalia.plans import plugins
@@ -81,3 +81,20 @@ def test_entry_points(spark):
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries)
     assert entry.entry(spark).count() == 200
+
+
+def test_phrases_found_as_literals_and_by_join_agree(spark):
+    texts = ["we saw NEW york and san francisco.", "van der waals, new\nyork", "new york new york van der  waals", "new, york; san-francisco new", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    none = spark.createDataFrame([], L.SCHEMA)
+    fields = ("key", "src_start", "src_end", "out_start", "out_end", "rule", "confidence", "changed")
+    marked, joined = (sorted(tuple(r[f] for f in fields) for r in spans(docs, lexicon=x).collect()) for x in (None, none))
+    assert marked == joined
+    assert sum(r[5] == "MultiwordLexicon" for r in marked) == 7
+
+
+def test_phrases_that_can_begin_inside_others_are_not_separable():
+    assert separable({"new york": "", "new york city": "", "van der waals": ""})
+    assert not separable({"new york": "", "york city": ""})
+    assert not separable({"a new york": "", "new york": ""})
+    assert not separable({"a a": ""})

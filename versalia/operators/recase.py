@@ -27,6 +27,61 @@ def _in(word: Column, words) -> Column:
     return word.isin(*words) if words else F.lit(False)
 
 
+def classes(tokens: DataFrame, language: str) -> DataFrame:
+    """Tokens with the classes of words that later steps ask for, so that each pattern runs once and below the windows.
+
+    Words that begin with a to z, or are lower-case ASCII throughout, need no pattern for most of them.
+    """
+    raw, word = F.col("raw"), F.col("kind") == "word"
+    easy = F.left(raw, F.lit(1)).between("a", "z")
+    t = tokens.withColumn("lower", F.when(word, C.lower(raw, language)))
+    small = (F.octet_length(raw) == F.length(raw)) & (raw == F.lower(raw))
+    return t.withColumns({
+        "alpha": word & (easy | raw.rlike(r"\p{IsAlphabetic}")),
+        "caps": word & ~easy & raw.rlike(r"\p{IsAlphabetic}") & ~raw.rlike(r"\p{IsLowercase}"),
+        "up": word & ~small & raw.rlike(r"\p{IsUppercase}"),
+        "starts_up": word & ~easy & raw.rlike(r"^\p{IsUppercase}"), "starts_num": word & ~easy & raw.rlike(r"^\p{N}"),
+    })
+
+
+def separable(table: dict[str, str]) -> bool:
+    """Whether no phrase can begin inside another one, so that matches are found at each place by itself."""
+    lists = [p.split(" ") for p in table]
+    return not any(a[i : i + len(b)] == b[: len(a) - i] for a in lists for b in lists for i in range(1, len(a)))
+
+
+def mark_phrases(t: DataFrame, table: dict[str, str]) -> DataFrame:
+    """Adds ``phrase``, the form of the longest phrase of ``table`` that begins at a token, and ``start`` on all its tokens.
+
+    ``table`` is a few literals and :func:`separable`; words are two tokens apart, with white space between.
+    """
+    by = Window.partitionBy("key").orderBy("pos")
+    most = max(p.count(" ") for p in table)
+    words = [F.col("lower"), *(F.lead(F.when(F.col("kind") == "word", F.col("lower")), 2 * k).over(by) for k in range(1, most + 1))]
+    gaps = [F.lead("kind", 2 * k - 1).over(by) for k in range(1, most + 1)]
+    t = t.withColumns({f"w{k}_": w for k, w in enumerate(words)} | {f"g{k}_": g for k, g in enumerate(gaps, 1)})
+    found = F.lit(None).cast("struct<phrase:string,size:int>")
+    for phrase in sorted(table, key=lambda p: p.count(" ")):
+        parts = phrase.split(" ")
+        same = F.col("w0_") == parts[0]
+        for k, part in enumerate(parts[1:], 1):
+            same = same & (F.col(f"g{k}_") == "space") & (F.col(f"w{k}_") == part)
+        found = F.when(same, F.struct(F.lit(table[phrase]).alias("phrase"), F.lit(2 * len(parts) - 1).alias("size"))).otherwise(found)
+    t = t.withColumn("m_", found).drop(*(f"w{k}_" for k in range(most + 1)), *(f"g{k}_" for k in range(1, most + 1)))
+    held = F.last(F.when(F.col("m_").isNotNull(), F.struct("pos", F.col("m_.size").alias("size"))), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    t = t.withColumn("held_", held)
+    start = F.when(F.col("pos") < F.col("held_.pos") + F.col("held_.size"), F.col("held_.pos"))
+    return t.withColumn("start", start).withColumn("phrase", F.col("m_.phrase")).drop("m_", "held_")
+
+
+def write_phrases(t: DataFrame, language: str) -> DataFrame:
+    """Puts the phrases that :func:`mark_phrases` found in the place of their tokens."""
+    hit = F.col("start").isNotNull()
+    value = F.when(F.col("cap"), C.upper_first(F.col("phrase"), language)).otherwise(F.col("phrase"))
+    text = F.when(hit, F.when(F.col("pos") == F.col("start"), value).otherwise("")).otherwise(F.col("text"))
+    return t.withColumn("text", text).withColumn("rule", F.when(hit, "MultiwordLexicon").otherwise(F.col("rule")))
+
+
 def contexts(tokens: DataFrame, options: CaseOptions) -> DataFrame:
     """Tokens with what the cascade needs: sentence, shouting, title_like, starts, separators, previous words, edges."""
     p, lang = profile(options.language), options.language
@@ -35,12 +90,14 @@ def contexts(tokens: DataFrame, options: CaseOptions) -> DataFrame:
     before, after = by.rowsBetween(Window.unboundedPreceding, -1), back.rowsBetween(Window.unboundedPreceding, -1)
     word = F.col("kind") == "word"
     raw, kind = F.col("raw"), F.col("kind")
-    t = tokens.withColumn("lower", F.when(word, C.lower(raw, lang)))
+    t = classes(tokens, lang)
+    ahead = F.when(word, F.when(F.col("starts_up"), 1).when(F.col("starts_num"), 2).otherwise(0))
+    t = t.withColumn("ahead", F.last(ahead, ignorenulls=True).over(after))
+    if options.preserve_known_proper_nouns and separable(BUILTIN_PHRASES):
+        t = mark_phrases(t, BUILTIN_PHRASES)
     for n in (1, 2):
         t = t.withColumn(f"p{n}", F.lag(F.struct("raw", "kind", "lower"), n).over(by)).withColumn(f"n{n}", F.lead(F.struct("raw", "kind"), n).over(by))
-    t = t.withColumn("next_word", F.last(F.when(word, raw), ignorenulls=True).over(after))
-    next_cap = F.coalesce(F.col("next_word").rlike(r"^\p{IsUppercase}"), F.lit(False))
-    next_digit = F.coalesce(F.col("next_word").rlike(r"^\p{N}"), F.lit(False))
+    next_cap, next_digit = (F.coalesce(F.col("ahead") == n, F.lit(False)) for n in (1, 2))
     dot = raw == "."
     near = lambda c, v: F.coalesce(F.col(c)["raw"] == v, F.lit(False))
     of = lambda c, v: F.coalesce(F.col(c)["kind"] == v, F.lit(False))
@@ -68,15 +125,13 @@ def contexts(tokens: DataFrame, options: CaseOptions) -> DataFrame:
         "first_mark": F.min(F.when(kind != "space", F.col("pos"))).over(key), "last_mark": F.max(F.when(kind != "space", F.col("pos"))).over(key),
     })
     sentence = Window.partitionBy("key", "sent")
-    alpha = word & raw.rlike(r"\p{IsAlphabetic}")
-    caps = alpha & ~raw.rlike(r"\p{IsLowercase}")
+    alpha, caps, upper = F.col("alpha"), F.col("caps"), F.col("up")
     small = _in(F.col("lower"), (*p.stop, *p.particles))
     long_caps = caps & (F.length(F.regexp_replace(raw, r"\P{IsAlphabetic}", "")) >= 5)
     any_of = lambda c: F.coalesce(F.max(F.when(alpha, c)).over(sentence), F.lit(False))
     all_of = lambda c: F.coalesce(F.min(F.when(alpha, c)).over(sentence), F.lit(True))
     t = t.withColumn("first_alpha", F.min(F.when(alpha, F.col("pos"))).over(sentence))
     rest = alpha & (F.col("pos") > F.col("first_alpha"))
-    upper = raw.rlike(r"\p{IsUppercase}")
     segment = Window.partitionBy("key", "seg").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     return t.withColumns({
         "small": small, "shouting": any_of(caps) & (all_of(caps) | (all_of(caps | small) & any_of(long_caps))),
@@ -114,11 +169,11 @@ def cascade(t: DataFrame, options: CaseOptions, lexicon: DataFrame | None) -> Da
     if options.preserve_known_proper_nouns:
         rules.append((known.isNotNull(), one(known, "CanonicalLexicon")))
     if options.preserve_acronyms:
-        rules.append((~F.col("shouting") & C.acronym(raw), one(raw, "AcronymPreserved")))
+        rules.append((F.col("up") & ~F.col("shouting") & C.acronym(raw), one(raw, "AcronymPreserved")))
     if options.preserve_mixed_case:
-        rules.append((C.mixed_case(raw), one(raw, "MixedCasePreserved")))
+        rules.append((F.col("up") & C.mixed_case(raw), one(raw, "MixedCasePreserved")))
     if options.preserve_existing_capitals and not title:
-        rules.append((~cap & plain & C.simple_capitalized(raw), one(raw, "ProperNounPreserved")))
+        rules.append((F.col("up") & ~cap & plain & C.simple_capitalized(raw), one(raw, "ProperNounPreserved")))
     if lang == "de" and options.german_mode >= GermanMode.BALANCED:
         noun = ~low.isin(*GERMAN_AMBIGUOUS) & (F.octet_length(low) > 2) & (low.rlike(f"({'|'.join(GERMAN_NOUN_ENDS)})$") | F.coalesce(F.col("prev_word").isin(*GERMAN_ARTICLES), F.lit(False)))
         german = F.coalesce(best, F.when(noun, C.capitalize(raw, lang)))
@@ -178,8 +233,13 @@ def phrases(t: DataFrame, options: CaseOptions, lexicon: DataFrame | None) -> Da
 
 
 def decided_tokens(docs: DataFrame, options: CaseOptions, key: str, text: str, lexicon: DataFrame | None = None) -> DataFrame:
+    """The tokens of each text with what they become. Without a lexicon, known phrases are literals and need no join."""
     t = cascade(contexts(tokenize(docs, key, text, outer=True), options), options, lexicon)
-    return phrases(t, options, lexicon) if options.preserve_known_proper_nouns else t.withColumn("start", F.lit(None).cast("int"))
+    if not options.preserve_known_proper_nouns:
+        return t.withColumn("start", F.lit(None).cast("int"))
+    if lexicon is None and separable(BUILTIN_PHRASES):
+        return write_phrases(t, options.language)
+    return phrases(t.drop("start", "phrase"), options, lexicon)
 
 
 def spans(docs: DataFrame, options: CaseOptions = CaseOptions(), key: str = "doc_id", text: str = "text", lexicon: DataFrame | None = None) -> DataFrame:

@@ -15,9 +15,10 @@ def tokens_of(text: Column) -> Column:
 
 
 def kind_of(raw: Column) -> Column:
-    """word, space, punct or symbol."""
+    """word, space, punct or symbol. The commonest tokens are told apart without a pattern."""
     return (
-        F.when(raw.rlike(r"^[\p{IsAlphabetic}\p{N}]"), "word").when(raw.rlike(r"^\p{IsWhite_Space}"), "space")
+        F.when(raw.isin(" ", "\n"), "space").when(F.left(raw, F.lit(1)).between("a", "z"), "word").when(raw.isin(".", ","), "punct")
+        .when(raw.rlike(r"^[\p{IsAlphabetic}\p{N}]"), "word").when(raw.rlike(r"^\p{IsWhite_Space}"), "space")
         .when(raw.rlike(rf"^[\p{{Punct}}{PUNCTUATION}]$"), "punct").when(raw.isNotNull(), "symbol")
     )
 
