@@ -10,6 +10,7 @@ on labelled documents not used for the weights gives the score.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,6 +22,10 @@ WINDOW, STRIDE = 16, 8
 BUCKETS = 1 << 17
 DIM = 8
 GRAMS = (3, 4, 5)
+#: Runs of more code points are read in pieces: what stands between joiners, and overlapping slices where that is still long.
+LONG = 64
+SLICE, SLICE_STEP = 16, 8
+JOINERS = re.compile(r"[.,;:_|/\\…()\[\]{}<>\"-]+")
 STRIPPED = "#*$%&|<>.,;:!?\"'()[]{}-_…"
 #: Bounds of the labelled sample: documents of a class, and windows of a document.
 MOST_DOCS = 2500
@@ -30,6 +35,24 @@ SEED = 5
 CACHED = 120_000
 
 
+def words_of(text: str | None) -> list[str]:
+    """Lower-case words of a text; a run of more than ``LONG`` code points gives several, which cover all of it."""
+    words = (text or "").lower().split()
+    if max(map(len, words), default=0) <= LONG:
+        return words
+    return [x for w in words for x in ([w] if len(w) <= LONG else pieces(w))]
+
+
+def pieces(run: str) -> list[str]:
+    out = []
+    for x in [x for x in JOINERS.split(run) if x] or [run]:
+        if len(x) <= LONG:
+            out.append(x)
+        else:
+            out += [x[a : a + SLICE] for a in range(0, len(x) - SLICE, SLICE_STEP)] + [x[-SLICE:]]
+    return out
+
+
 def grams(words: list[str], at_once: int = 20_000):
     """:func:`hashed_grams` of many words in bounded memory."""
     import numpy as np
@@ -43,7 +66,7 @@ def hashed_grams(words: list[str]):
     """(bucket ids, starts): hashed n-grams of each word in ``<word>`` form, then the word's own bucket."""
     import numpy as np
 
-    marked = ["<" + (w.strip(STRIPPED)[:64] or w[:64]) + ">" for w in words]
+    marked = ["<" + (w.strip(STRIPPED) or w) + ">" for w in words]
     code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     size = np.fromiter(map(len, marked), np.int64, len(marked))
     end = np.cumsum(size)
@@ -231,7 +254,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         for batch in batches:
             out = []
             for x in batch["text"]:
-                words = (x or "").lower().split()
+                words = words_of(x)
                 starts = list(range(0, max(1, len(words)), WINDOW))
                 if len(starts) > most_windows:
                     starts = [starts[len(starts) * i // most_windows] for i in range(most_windows)]
@@ -267,7 +290,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score",
                 held, size = [], 0
                 while at < len(texts) and size < 1 << 18:
                     x = texts[at].as_py() or ""
-                    held.append(x.lower().split())
+                    held.append(words_of(x))
                     size += len(x)
                     at += 1
                 new = list(set().union(*held) - logit.keys())
