@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import casing as C
+from ..functions.profiles import PROFILES
 from ..operators import prepare as P
 from ..operators import recase as R
 from ..operators.tokens import reconstruct, tokenize
@@ -16,6 +18,8 @@ from ..sources import registry, samples
 from . import oracle as O
 
 LANGS = ("en", "de", "fr", "es")
+#: Stands for null languages and those without a profile.
+NEUTRAL = "und"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,13 +35,20 @@ def _named(df: DataFrame) -> DataFrame:
     return df.withColumnRenamed("key", "doc_id")
 
 
+def by_language(docs: DataFrame, of: Callable[[DataFrame, CaseOptions], DataFrame]) -> DataFrame:
+    """Union of ``of`` over the documents of each language there is; null and other languages have the neutral profile."""
+    language = F.lower(F.split(F.translate("lang", "_", "-"), "-")[0])
+    language = F.when(language.isin(*PROFILES), language).otherwise(NEUTRAL)
+    out = None
+    for x in sorted(r[0] for r in docs.select(language).distinct().collect()) or [NEUTRAL]:
+        part = of(docs.filter(language == x), CaseOptions(locale=x))
+        out = part if out is None else out.union(part)
+    return out
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence case of every document under the rules of its language."""
-    parts = [R.recase(_docs(spark, sf_dir, x), CaseOptions(locale=x)) for x in LANGS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return _named(out)
+    return _named(by_language(_docs(spark, sf_dir), R.recase))
 
 
 def recased(spark: SparkSession, sf_dir: str, options: CaseOptions, upper: str = "") -> DataFrame:
@@ -74,11 +85,21 @@ def sentence_counts(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
     return _named(t.groupBy("key").agg(n("boundary"), n("starts"), F.max("sent").cast("long").alias("last_sentence"), F.count_if(F.col("shouting") & F.col("starts")).alias("n_shouting"), F.count_if(F.col("title_like") & F.col("starts")).alias("n_title_like")))
 
 
-def rule_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = R.spans(_docs(spark, sf_dir, "en"), CaseOptions()).filter("rule <> 'WhitespaceCollapsed'")
+def _rules(s: DataFrame) -> DataFrame:
+    s = s.filter("rule <> 'WhitespaceCollapsed'")
     return s.groupBy("rule", "confidence").agg(F.count(F.lit(1)).alias("n"), F.count_if("changed").alias("n_changed"), F.sum(F.col("out_end") - F.col("out_start")).alias("out_bytes"))
 
 
+def rule_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of the English documents; :func:`rule_histogram_all` has those of every document."""
+    return _rules(R.spans(_docs(spark, sf_dir, "en"), CaseOptions()))
+
+
+def rule_histogram_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of every document under the rules of its language."""
+    return _rules(by_language(_docs(spark, sf_dir), R.spans))
+
+
 def checksum_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("sha256"))
 
@@ -111,7 +132,7 @@ def parsed_sample(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (flagship, token_counts_by_kind, token_offsets_checksum, reconstruct_roundtrip, rule_histogram, checksum_text, sources_catalog)
+    for f in (flagship, token_counts_by_kind, token_offsets_checksum, reconstruct_roundtrip, rule_histogram, rule_histogram_all, checksum_text, sources_catalog)
 }
 QUERIES |= {f"sentence_case_{x}": partial(recased, options=CaseOptions(locale=x)) for x in LANGS}
 QUERIES |= {f"sentence_counts_{x}": partial(sentence_counts, lang=x) for x in LANGS}
@@ -132,6 +153,9 @@ QUERIES |= {f"source_{k.replace('-', '_')}": partial(parsed_sample, source=k) fo
 
 _ALL = "SELECT doc_id AS key, text FROM documents"
 _OF = {x: f"{_ALL} WHERE lang = '{x}'" for x in LANGS}
+#: The same for every profile and for the rest; the case functions of Turkish, Azeri and Lithuanian aren't stated in SQL.
+_LANGUAGE = "lower(split_part(replace(lang, '_', '-'), '-', 1))"
+_OF_ALL = {x: f"{_ALL} WHERE {_LANGUAGE} = '{x}'" for x in PROFILES} | {NEUTRAL: f"{_ALL} WHERE coalesce({_LANGUAGE} NOT IN ({', '.join(map(repr, PROFILES))}), true)"}
 
 
 def _class(test: str) -> str:
@@ -160,6 +184,9 @@ ORACLE_SQL = {
     "token_offsets_checksum": O.tokens(_ALL) + ", e AS (SELECT key, sum(strlen(raw)) OVER (PARTITION BY key ORDER BY pos) AS src_end FROM k) SELECT key AS doc_id, count(*) AS n, sum(src_end) AS sum_end, max(src_end) AS n_bytes FROM e GROUP BY key",
     "reconstruct_roundtrip": "SELECT count(*) AS n, count(*) AS n_same FROM documents WHERE text <> ''",
     "rule_histogram": O.cascade(_OF["en"], "en") + " SELECT rule, CASE WHEN rule IN ('AcronymPreserved', 'ProperNounPreserved') THEN 'Heuristic' ELSE 'Solid' END AS confidence, count(*) AS n, count(*) FILTER (raw <> text) AS n_changed, sum(strlen(text)) AS out_bytes FROM c WHERE kind = 'word' GROUP BY rule",
+    "rule_histogram_all": "SELECT rule, CASE WHEN rule IN ('AcronymPreserved', 'ProperNounPreserved') THEN 'Heuristic' ELSE 'Solid' END AS confidence, count(*) AS n, count(*) FILTER (raw <> text) AS n_changed, sum(strlen(text)) AS out_bytes FROM ("
+    + " UNION ALL ".join(f"({O.cascade(d, x)} SELECT rule, raw, text FROM c WHERE kind = 'word')" for x, d in _OF_ALL.items())
+    + ") GROUP BY rule",
     "checksum_text": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
     "sources_catalog": registry.oracle_sql(),
     "acronym_words": _class(O.ACRONYM),
