@@ -43,3 +43,16 @@ def test_toxicity_reads_runs_beyond_64_characters(spark):
     got = scores(spark, given + [x for pair in cases for x in pair], labels)
     for k, (_, _) in enumerate(cases):
         assert got[len(given) + 2 * k] < 0.5 < got[len(given) + 2 * k + 1], k
+
+
+def test_toxicity_learns_from_every_window_of_long_texts(spark):
+    rng = random.Random(4)
+    given, labels = [], []
+    for k in range(240):
+        t = ["word%d" % rng.randrange(200) for _ in range(2000)]
+        if k % 3 == 0:  # in the second of 125 windows only
+            t[18], t[21], t[25] = "dreadfool", "nastything", "dreadfool"
+        given.append(" ".join(t))
+        labels.append((k, int(k % 3 == 0)))
+    got = scores(spark, given, labels)
+    assert sum((got[k] >= 0.5) == (y == 1) for k, y in labels) > 230

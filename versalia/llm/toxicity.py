@@ -27,9 +27,8 @@ LONG = 64
 SLICE, SLICE_STEP = 16, 8
 JOINERS = re.compile(r"[.,;:_|/\\…()\[\]{}<>\"-]+")
 STRIPPED = "#*$%&|<>.,;:!?\"'()[]{}-_…"
-#: Bounds of the labelled sample: documents of a class, and windows of a document.
+#: Bound of the labelled sample: documents of a class. Their texts are learnt from as a whole.
 MOST_DOCS = 2500
-MOST_WINDOWS = 48
 EPOCHS = 8
 SEED = 5
 CACHED = 120_000
@@ -134,7 +133,7 @@ def spread(n_words: int) -> float:
 
 
 def fit(docs: list[list[str]], labels: list[int], prior: float, epochs: int = EPOCHS, seed: int = SEED) -> Model:
-    """Train on windows ``docs[i]`` (texts) of documents with ``labels[i]``; ``prior``: share of label 1 among all."""
+    """Train on the words ``docs[i]`` of documents with ``labels[i]``; ``prior``: share of label 1 among all."""
     import numpy as np
 
     rng = np.random.default_rng(seed)
@@ -142,8 +141,7 @@ def fit(docs: list[list[str]], labels: list[int], prior: float, epochs: int = EP
         p = min(max(prior, 1e-6), 1 - 1e-6)
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 1.0, float(np.log(p / (1 - p))), 0.0)
     aside = np.arange(len(docs)) % 4 == 3
-    windows = [(i, x.split()) for i, d in enumerate(docs) if not aside[i] for x in d]
-    windows = [(i, w) for i, w in windows if w]
+    windows = [(i, d[a : a + WINDOW]) for i, d in enumerate(docs) if not aside[i] for a in range(0, len(d), WINDOW)]
     vocabulary = sorted({x for _, w in windows for x in w})
     number = {x: n for n, x in enumerate(vocabulary)}
     ids, starts = grams(vocabulary) if vocabulary else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -169,7 +167,6 @@ def fit(docs: list[list[str]], labels: list[int], prior: float, epochs: int = EP
             np.maximum.at(best, of, z)
             use = (y == 0) | (z >= np.maximum(best[of] - 1.0, 0)) | (z == best[of])
         pos, neg = rng.permutation(np.flatnonzero(use & (y == 1))), rng.permutation(np.flatnonzero(use & (y == 0)))
-        neg = neg[: max(4 * len(pos), 8000)]
         order = rng.permutation(np.concatenate([pos, neg]))
         heavy = min(6.0, max(1.0, len(neg) / max(1, len(pos)) / 2))
         for at in range(0, len(order), 128):
@@ -201,11 +198,11 @@ def fit(docs: list[list[str]], labels: list[int], prior: float, epochs: int = EP
     direction = (w[:, 1] - w[:, 0]) * scale
     model = Model((e @ direction).astype(np.float32), float(bias[1] - bias[0]), 1.0, 0.0, 0.0)
     # calibrate on the documents set aside, weighted to the classes' true shares
-    rows = [(i, " ".join(docs[i]).split()) for i in np.flatnonzero(aside)]
+    rows = [(i, docs[i]) for i in np.flatnonzero(aside)]
     known = sorted({x for _, t in rows for x in t})
     if known and 0 < sum(labels[i] for i, _ in rows) < len(rows):
         logit = dict(zip(known, model.word_logits(known).tolist(), strict=True))
-        x = np.array([[max(model.worst(np.array([logit[k] for k in part.split()])) for part in docs[i]), spread(len(t)), 1.0] for i, t in rows])
+        x = np.array([[model.worst(np.array([logit[k] for k in words])), spread(len(words)), 1.0] for _, words in rows])
         t = np.array([labels[i] for i, _ in rows], float)
         weight = np.where(t == 1, prior / t.mean(), (1 - prior) / (1 - t.mean()))
         beta = np.zeros(3)
@@ -236,9 +233,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", most_docs: int = MOST_DOCS, most_windows: int = MOST_WINDOWS) -> Model:
-    """Fit on a bounded sample: ``most_docs`` labelled documents of a class (smallest hashes of their
-    ids), ``most_windows`` windows of each, evenly spread over its text."""
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", most_docs: int = MOST_DOCS) -> Model:
+    """Fit on a bounded sample: the whole texts of ``most_docs`` labelled documents of a class
+    (smallest hashes of their ids)."""
     text_batches(docs.sparkSession)
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     counted = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -248,25 +245,12 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         part = known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
         chosen = part if chosen is None else chosen.union(part)
 
-    def windows(batches):
-        import pandas as pd
-
-        for batch in batches:
-            out = []
-            for x in batch["text"]:
-                words = words_of(x)
-                starts = list(range(0, max(1, len(words)), WINDOW))
-                if len(starts) > most_windows:
-                    starts = [starts[len(starts) * i // most_windows] for i in range(most_windows)]
-                out.append([" ".join(words[a : a + WINDOW]) for a in starts])
-            yield pd.DataFrame({"id": batch["id"], "toxic": batch["toxic"], "windows": out})
-
     # two times most_docs ids at the most
     sample = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen.withColumnRenamed("doc_id", "id")), "id")
-    rows = sample.mapInPandas(windows, "id long, toxic int, windows array<string>").collect()
+    rows = sample.select(F.col("id").cast("long").alias("id"), "toxic", "text").collect()
     rows.sort(key=lambda r: (hash((r["id"] * 0x9E3779B97F4A7C15) & 0xFFFFFFFF), r["id"]))
     rows = rows[: 2 * most_docs]  # repeated ids could bring more
-    return fit([list(r["windows"]) for r in rows], [r["toxic"] for r in rows], prior)
+    return fit([words_of(r["text"]) for r in rows], [r["toxic"] for r in rows], prior)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score", keep_text: bool = False) -> DataFrame:
