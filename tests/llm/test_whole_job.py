@@ -1,8 +1,10 @@
 """Cases in which an operator once did less than its whole job."""
 
+import base64
+import hashlib
 import random
 
-from versalia.llm import toxicity
+from versalia.llm import toxicity, warc
 
 
 def labelled_texts(n=400, seed=8):
@@ -56,3 +58,33 @@ def test_toxicity_learns_from_every_window_of_long_texts(spark):
         labels.append((k, int(k % 3 == 0)))
     got = scores(spark, given, labels)
     assert sum((got[k] >= 0.5) == (y == 1) for k, y in labels) > 230
+
+
+def foreign(kind, content_type, block, **heads):
+    """A record as other writers make it."""
+    lines = {"WARC-Type": kind, "WARC-Record-ID": "<urn:uuid:0>", "Content-Type": content_type, "Content-Length": len(block)} | {f"WARC-{k}-Digest": v for k, v in heads.items()}
+    return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines.items()).encode() + b"\r\n" + block + warc.END
+
+
+def sha1(data):
+    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+def read_back(spark, folder, data):
+    folder.mkdir()
+    (folder / "a.warc.gz").write_bytes(data)
+    return sorted(warc.read_warc(spark, str(folder)).collect(), key=lambda r: r["start"])
+
+
+def test_warc_of_other_writers(spark, tmp_path):
+    http, page, text = "application/http; msgtype=response", b"<p>a</p>\r\n\r\nb", b"one\r\n\r\ntwo"
+    whole = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" + page
+    upper, b32 = hashlib.sha256(whole).hexdigest().upper(), base64.b32encode(hashlib.sha256(page).digest()).decode()
+    records = [
+        foreign("response", http, whole, Block=sha1(whole), Payload=sha1(page)), foreign("response", http, whole, Block=f"sha256:{upper}", Payload=f"sha256:{b32}"),
+        foreign("resource", "text/plain", text, Payload=sha1(text)), foreign("conversion", "text/plain", b"no blank line", Block="blake3:00"), foreign("warcinfo", "application/warc-fields", text),
+        foreign("response", http, whole, Payload=sha1(b"other")), foreign("resource", "text/plain", text, Block=sha1(b"other")),
+    ]
+    got = read_back(spark, tmp_path / "w", b"".join(map(warc.member, records)))
+    assert [(r["gap"], r["payload"] and bytes(r["payload"])) for r in got] == [(None, page), (None, page), (None, text), (None, b"no blank line"), (None, text), ("payload", None), ("digest", None)]
+    assert got[0]["payload_digest"] == hashlib.sha256(page).hexdigest()

@@ -7,6 +7,7 @@ concatenated gzip allows and readers skip.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -53,6 +54,33 @@ def member(data: bytes) -> bytes:
     return c.compress(data) + c.flush()
 
 
+def matches(stated: str, data: bytes) -> bool | None:
+    """Whether ``data`` has the digest ``stated`` as algorithm:value, in hex or base32; None for what can't be verified."""
+    name, colon, value = stated.partition(":")
+    name, value = name.strip().lower().replace("-", ""), value.strip()
+    if not colon or name not in ("md5", "sha1", "sha256", "sha384", "sha512"):
+        return None
+    made = hashlib.new(name, data, usedforsecurity=False).digest()
+    if len(value) == 2 * len(made):
+        return value.lower() == made.hex()
+    told = value.upper().rstrip("=")
+    plain = base64.b32encode(made).decode().rstrip("=")
+    return told == plain if len(told) == len(plain) else None
+
+
+def payload_of(heads: dict[str, str], block: bytes) -> bytes:
+    """The block without its HTTP head, if it is a HTTP message."""
+    if not heads.get("content-type", "").lower().startswith("application/http"):
+        return block
+    return block.partition(END)[2]
+
+
+def page_of(record_id: str) -> int | None:
+    """The page id in a record id of this writer; other writers' ids have none."""
+    page = re.fullmatch(r"<urn:page:(-?[0-9]{1,19})>", record_id)
+    return int(page[1]) if page and -(1 << 63) <= int(page[1]) < 1 << 63 else None
+
+
 def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     """(headers, block, end) of the record at ``at``; ValueError says which check failed."""
     line = data.find(b"\r\n", at)
@@ -74,7 +102,7 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     if data[end : end + len(END)] != END:
         raise ValueError("length")
     block = data[start:end]
-    if (digest := heads.get("warc-block-digest")) and digest != f"sha256:{hashlib.sha256(block).hexdigest()}":
+    if matches(heads.get("warc-block-digest", ""), block) is False:
         raise ValueError("digest")
     return heads, block, end + len(END)
 
@@ -177,8 +205,10 @@ def read_warc(spark, path: str) -> DataFrame:
 
     ``(file, start, end, gap, record_type, page_id, target, refers_to, payload_bytes, payload_digest,
     payload)``: ``gap`` is null for a record, else the check that failed at the start of the
-    quarantined bytes ``start``..``end`` of ``file``. A response's payload is hashed again; one that
-    doesn't match its header is a gap (``payload``). A revisit has no payload; its size and
+    quarantined bytes ``start``..``end`` of ``file``. Payloads are hashed again; one that doesn't match
+    its header is a gap (``payload``). Digests are verified by the algorithm they name, in hex or
+    base32; unknown ones and other forms count as unverified. ``payload_digest`` is the payload's
+    SHA-256. Only HTTP messages have a head that isn't payload. A revisit has no payload; its size and
     digest are those in its headers.
     """
 
@@ -187,19 +217,19 @@ def read_warc(spark, path: str) -> DataFrame:
             if kind == "gap":
                 yield file, start, end, x, *[None] * 7
                 continue
-            stated = x.get("warc-payload-digest", "").removeprefix("sha256:")
-            head, _, payload = block.partition(END)
-            page = re.search(r"-?[0-9]+", x.get("warc-record-id", ""))
-            refers = re.search(r"-?[0-9]+", x.get("warc-refers-to", ""))
+            stated = x.get("warc-payload-digest", "")
+            page, refers = page_of(x.get("warc-record-id", "")), page_of(x.get("warc-refers-to", ""))
             if x.get("warc-type") == "revisit":
-                size = re.search(rb"(?i)\r\nContent-Length: *([0-9]+)", head)
-                told = (int(size[1]) if size else None, stated, None)
+                size = re.search(rb"(?i)\r\nContent-Length: *([0-9]+)", block.partition(END)[0])
+                told = (int(size[1]) if size else None, stated.removeprefix("sha256:"), None)
             else:
+                payload = payload_of(x, block)
                 told = (len(payload), hashlib.sha256(payload).hexdigest(), payload)
-                if stated and stated != told[1]:
+                # a segment states the digest of the payload of all segments
+                if "warc-segment-number" not in x and matches(stated, payload) is False:
                     yield file, start, end, "payload", *[None] * 7
                     continue
-            yield file, start, end, None, x.get("warc-type"), page and int(page[0]), x.get("warc-target-uri"), refers and int(refers[0]), *told
+            yield file, start, end, None, x.get("warc-type"), page, x.get("warc-target-uri"), refers, *told
 
     def run(batches):
         import pyarrow as pa
