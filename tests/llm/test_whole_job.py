@@ -88,3 +88,21 @@ def test_warc_of_other_writers(spark, tmp_path):
     got = read_back(spark, tmp_path / "w", b"".join(map(warc.member, records)))
     assert [(r["gap"], r["payload"] and bytes(r["payload"])) for r in got] == [(None, page), (None, page), (None, text), (None, b"no blank line"), (None, text), ("payload", None), ("digest", None)]
     assert got[0]["payload_digest"] == hashlib.sha256(page).hexdigest()
+
+
+def test_salvage_inside_a_member_of_many_records():
+    rng = random.Random(6)
+    one = [warc.record(k, "u", x := rng.randbytes(3000), hashlib.sha256(x).hexdigest(), None) for k in range(6)]
+    pages = lambda found: [warc.page_of(x[3]["warc-record-id"]) for x in found if x[0] == "record"]
+    last = warc.member(one[5])
+    bad = bytearray(one[2])
+    bad[-100] ^= 255
+    packed = warc.member(b"".join([*one[:2], bad, *one[3:5]]))
+    found = list(warc.salvage(packed + last))
+    assert pages(found) == [0, 1, 3, 4, 5] and [x[1:4] for x in found if x[0] == "gap"] == [(0, len(packed), "digest")]
+    packed = warc.member(b"".join(one[:5]))
+    found = list(warc.salvage(packed[:-4000]))
+    assert pages(found) == [0, 1, 2] and [x[1:4] for x in found if x[0] == "gap"] == [(0, len(packed) - 4000, "member")]
+    wrong = packed[:-8] + bytes(4) + packed[-4:]  # the checksum fails, each record's digest holds
+    found = list(warc.salvage(wrong + last))
+    assert pages(found) == [0, 1, 2, 3, 4, 5] and [x[1:4] for x in found if x[0] == "gap"] == [(0, len(packed), "member")]

@@ -8,6 +8,7 @@ concatenated gzip allows and readers skip.
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import re
 import zlib
@@ -27,6 +28,7 @@ EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 MAGIC = b"\x1f\x8b\x08"
 #: A later member or version line to go on from after damage.
 NEXT = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+LINE = re.compile(rb"WARC/1\.[01]\r\n")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -107,54 +109,92 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     return heads, block, end + len(END)
 
 
+def inflate(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """(bytes, end, fault) of the gzip member at ``at``: with a fault, ``cut`` or ``damaged``, what it gave before."""
+    z, parts, fed = zlib.decompressobj(31), [], at
+    while not z.eof and fed < len(data):
+        chunk, before = data[fed : fed + (1 << 16)], z.copy()
+        try:
+            parts.append(z.decompress(chunk))
+        except zlib.error:
+            # the failed call gave nothing; byte by byte all comes that stands before the fault
+            with contextlib.suppress(zlib.error):
+                for k in range(len(chunk)):
+                    parts.append(before.decompress(chunk[k : k + 1]))
+            return b"".join(parts), fed, "damaged"
+        fed += len(chunk)
+    return b"".join(parts), fed - len(z.unused_data), None if z.eof else "cut"
+
+
+def walk(inner: bytes, damaged: bool) -> Iterator[tuple | str]:
+    """(headers, block) of the records in inflated bytes; a reason for each run of bytes given up.
+
+    What a damaged member gave may be wrong, so only records with a digest that matches count there.
+    """
+    at, lost = 0, False
+    while at < len(inner):
+        try:
+            heads, block, end = parse(inner, at)
+            if damaged and not (matches(heads.get("warc-block-digest", ""), block) or matches(heads.get("warc-payload-digest", ""), payload_of(heads, block))):
+                raise ValueError("member")
+        except ValueError as e:
+            if not lost:
+                yield str(e)
+            lost = True
+            later = LINE.search(inner, at + 1)
+            at = later.start() if later else len(inner)
+            continue
+        yield heads, block
+        at, lost = end, False
+
+
 def salvage(data: bytes) -> Iterator[tuple]:
     """Walk through an archive's bytes, gzip members or plain records, in either order.
 
     Yields ``("record", start, end, headers, block)`` for each record that passes its checks and
     ``("gap", start, end, reason, None)`` for bytes given up: after a failed check the walk goes
-    on at the next member or version line from which a whole record can be read.
+    on at the next member or version line from which a whole record can be read. Inflated bytes
+    are walked through alike, those of a broken member too; a gap among records of a member has
+    the bytes of the member.
     """
     at, gap, why = 0, None, ""
 
-    def step(at: int) -> tuple[int, list]:
-        if data.startswith(MAGIC, at):
-            z = zlib.decompressobj(31)
-            try:
-                inner = z.decompress(data[at : at + (1 << 16)])
-                fed = min(len(data), at + (1 << 16))
-                parts = [inner]
-                while not z.eof and fed < len(data):
-                    parts.append(z.decompress(data[fed : fed + (1 << 16)]))
-                    fed = min(len(data), fed + (1 << 16))
-            except zlib.error as e:
-                raise ValueError("member") from e
-            if not z.eof:
+    def step(at: int) -> tuple[int, list, bool]:
+        if not data.startswith(MAGIC, at):
+            heads, block, end = parse(data, at)
+            return end, [(heads, block)], False
+        inner, end, fault = inflate(data, at)
+        found = list(walk(inner, fault == "damaged"))
+        if fault:
+            while found and isinstance(found[-1], str):  # the gap of the member follows
+                found.pop()
+            if not found:
                 raise ValueError("member")
-            inner, end, found, k = b"".join(parts), fed - len(z.unused_data), [], 0
-            while k < len(inner):
-                heads, block, k = parse(inner, k)
-                found.append((heads, block))
-            return end, found
-        heads, block, end = parse(data, at)
-        return end, [(heads, block)]
+        return end, found, fault is not None
 
     while at < len(data):
         try:
-            end, found = step(at)
+            end, found, broken = step(at)
         except ValueError as e:
             if gap is None:
                 gap, why = at, str(e)
             later = NEXT.search(data, at + 1)
             at = later.start() if later else len(data)
             continue
-        if gap is not None and not found:  # an empty member by chance isn't a place to go on from
+        if all(isinstance(x, str) for x in found):  # an empty member by chance isn't a place to go on from
+            if found and gap is None:
+                gap, why = at, found[0]
             at = end
             continue
         if gap is not None:
             yield "gap", gap, at, why, None
             gap = None
-        for heads, block in found:
-            yield "record", at, end, heads, block
+        for x in found:
+            yield ("gap", at, end, x, None) if isinstance(x, str) else ("record", at, end, *x)
+        if broken:
+            gap, why = at, "member"
+            later = NEXT.search(data, at + 1)
+            end = later.start() if later else len(data)
         at = end
     if gap is not None:
         yield "gap", gap, len(data), why, None
