@@ -4,7 +4,7 @@ import base64
 import hashlib
 import random
 
-from versalia.llm import toxicity, warc
+from versalia.llm import secrets, toxicity, warc
 
 
 def labelled_texts(n=400, seed=8):
@@ -106,3 +106,16 @@ def test_salvage_inside_a_member_of_many_records():
     wrong = packed[:-8] + bytes(4) + packed[-4:]  # the checksum fails, each record's digest holds
     found = list(warc.salvage(wrong + last))
     assert pages(found) == [0, 1, 2, 3, 4, 5] and [x[1:4] for x in found if x[0] == "gap"] == [(0, len(packed), "member")]
+
+
+def test_keys_of_one_case_are_candidates(spark):
+    upper, lower, copied = "K7Q2ZJ4XW5M3RT6BN2PVA7", "sk_live_908172635444536", "EX4MPL3K3YTHATALLC0PY99"
+    plain = ["a-report-of-2024-01-02-by-many-people", "UPPER_CASE_NAME_OF_2024_0102", "12345678901234567890123", "550e8400-e29b-41d4-a716-446655440000", "internationalization-2024-01-02"]
+    given = [f"x {upper} y", f"x {lower} y", *[f"see {copied} here"] * 3, *plain]
+    docs = spark.createDataFrame([(k, x, f"o{k}/r", len(x)) for k, x in enumerate(given)], "doc_id long, text string, source string, n_chars long")
+    rows = {r["doc_id"]: r for r in secrets.find_secrets(docs).collect()}
+    assert [rows[k]["spans"] for k in range(len(given))] == ["token:2:24", "token:2:25", *[""] * 8]
+    owned = sorted(r["owners"] for r in secrets.ownership(secrets.scan(docs)).collect())
+    assert owned == [1, 1, 3]  # the copied key is a candidate too
+    masked = {r["doc_id"]: r["text"] for r in secrets.mask_secrets(docs).collect()}
+    assert [masked[k] for k in range(len(given))] == ["x [SECRET] y"] * 2 + given[2:]

@@ -31,6 +31,14 @@ COPIED_OWNERS = 3
 MASK = "[SECRET]"
 
 
+def _generated(value: Column) -> Column:
+    """Whether a run looks generated: letters of both cases and two digits; or, of one case, 8 different characters
+    and four digits in a part of 13 letters and digits, which UUIDs and words and dates joined by hyphens don't have."""
+    both = value.rlike("[0-9].*[0-9]") & value.rlike("[A-Z]") & value.rlike("[a-z]")
+    one = value.rlike("[A-Za-z]") & value.rlike("(?<![A-Za-z0-9])(?=[A-Za-z0-9]{13})(?:[A-Za-z]*[0-9]){4}")
+    return both | (one & (F.size(F.array_distinct(F.split(value, ""))) >= 8))
+
+
 def _found(text: Column, kind: str) -> Column:
     """Spans ``(s, kind, e, value)`` of a kind: leftmost non-overlapping matches, those with too short values dropped.
 
@@ -53,7 +61,7 @@ def _found(text: Column, kind: str) -> Column:
         out = F.aggregate(paired, first, step, lambda acc: acc["out"])
         good = lambda x: F.length(x["value"]) >= least
         if kind == "token":
-            good = lambda x: (F.length(x["value"]) >= least) & x["value"].rlike("[0-9].*[0-9]") & x["value"].rlike("[A-Z]") & x["value"].rlike("[a-z]")
+            good = lambda x: (F.length(x["value"]) >= least) & _generated(x["value"])
         return F.filter(out, good)
 
     hits = F.regexp_extract_all(text, F.lit(pattern), 0)
