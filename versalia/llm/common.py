@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,13 +16,57 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Open scopes: lists of the scratch folders made within them, innermost last.
+_scopes: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a folder under the working directory where none is set (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.abspath('spark-warehouse')}/shared"
+    """The folder that all executors see, ``spark.checkpoint.dir``.
+
+    Where it is unset a local session takes a folder under the working directory; on a cluster, where
+    that would be each machine's own, it is an error.
+    """
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    if told:
+        return told
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"file://{os.path.abspath('spark-warehouse')}/shared"
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder name in the shared folder, deleted with the scope it is made in."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Delete a written folder when the driver ends, if it is still there: results are read from it after the call that made it."""
+    fs, there = _file_system(spark, path)
+    fs.deleteOnExit(there)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, there = _file_system(spark, path)
+    fs.delete(there, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Deletes the scratch folders made within: for steps whose result doesn't read them any more."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
 
 
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -32,15 +78,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    until_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """:func:`materialize` the frame that ``make`` gives, then delete all scratch that it took to make it."""
+    path = scratch_path(spark, name)
+    with scratch_scope(spark):
+        df = make()
+        df.write.parquet(path)
+    until_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a ``materialize``d frame that nothing reads any more."""
-    spark = df.sparkSession
     for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, file.rpartition("/")[0])
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -48,6 +103,36 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Elements that :func:`running` folds at once; growing a list copies it.
+RUN = 256
+
+
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an array of ints, ``op`` over 0 and all elements before it (``op`` associative, 0 neutral).
+
+    Built-in functions grow an array by copying it, so blocks are folded apart and shifted by the fold of
+    the blocks before.
+    """
+    first = F.expr("struct(0 as t, cast(array() as array<int>) as out)")
+
+    def fold(items: Column, of: Callable[[Column], Column]) -> Column:
+        return F.aggregate(items, first, lambda a, x: F.struct(op(a["t"], of(x)).alias("t"), F.array_append(a["out"], a["t"]).alias("out")))
+
+    def joined(blocks: Column) -> Column:
+        return let(
+            F.struct(blocks.alias("b"), fold(blocks, lambda b: b["t"])["out"].alias("shift")),
+            lambda s: F.flatten(F.transform(s["b"], lambda b, k: F.transform(b["out"], lambda v: op(v, F.get(s["shift"], k))))),
+        )
+
+    return joined_of(values, lambda block: fold(block, lambda x: x), joined)
+
+
+def joined_of(values: Column, of: Callable[[Column], Column], then: Callable[[Column], Column]) -> Column:
+    """``then`` over the array of ``of`` of each block of ``RUN`` elements."""
+    last = F.greatest(F.ceil(F.size(values) / RUN).cast("int") - 1, F.lit(0))
+    return let(F.transform(F.sequence(F.lit(0), last), lambda k: of(F.slice(values, k * RUN + 1, F.lit(RUN)))), then)
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; null counts as empty."""
     return let(
@@ -69,6 +154,31 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def boxed(df: DataFrame, out: str = "row") -> Column:
+    """All columns of ``df`` in one struct, so that no name of a step can clash with them; :func:`unboxed` gives them back."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(out)
+
+
+def unboxed(df: DataFrame, columns: list[str], box: str = "row", **changed: Column) -> DataFrame:
+    """The columns in ``box``, those in ``changed`` with new values."""
+    return df.select(*(changed[c].alias(c) if c in changed else F.col(f"{box}.`{c}`") for c in columns))
+
+
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """``(row, half, other)``: rows boxed, with two hashes that name a row by its file and place.
+
+    A frame that isn't read from files is written out first.
+    """
+    place = F.concat_ws(":", "_metadata.file_path", "_metadata.row_index")
+    keys = [F.xxhash64("place").alias("half"), F.xxhash64(F.lit(1), "place").alias("other")]
+    if "_metadata" not in (c.lower() for c in docs.columns):
+        try:
+            return docs.select(boxed(docs), place.alias("place")).select("row", *keys)
+        except AnalysisException:
+            pass
+    return materialize(docs.select(boxed(docs)), "rows").select("row", place.alias("place")).select("row", *keys)
+
+
 def salted_join(rows: DataFrame, per_key: DataFrame, keys: list[str], spread: str, how: str = "inner", salts: int = 16) -> DataFrame:
     """Join many ``rows`` to the one row of ``per_key`` that has their key, by (key, salt).
 
