@@ -18,7 +18,7 @@ from math import comb
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_blocks, by_key, components, discard, materialize
+from .common import bucket_blocks, by_key, components, keyed_rows, materialize, salted_join, text_batches, unboxed
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -53,8 +53,8 @@ def fingerprint(text: str | None, words_in_shingle: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", words_in_shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """``docs`` (any columns but the text are kept) with ``fingerprint_bits long``."""
-    kept = [c for c in docs.columns if c != text]
+    """``docs`` (any columns but the text are kept; one of this name is replaced) with ``fingerprint_bits long``."""
+    kept = [c for c in docs.columns if c not in (text, "fingerprint_bits")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
 
     def run(batches):
@@ -181,29 +181,46 @@ def links(classes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataF
     return by_key(blocks, ["t", "key", "blk_a", "blk_b"], compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, words_in_shingle: int = SHINGLE_WORDS, salts: int = 16) -> DataFrame:
+def class_components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``(fingerprint_bits, component, component_id)`` of the distinct fingerprints in ``prints(doc_id, fingerprint_bits)``.
+
+    ``component`` is the smallest fingerprint reachable over links, so documents that share an id or have none
+    stay apart; ``component_id`` is the smallest id of the component's documents, null if none has one.
+    """
+    classes = materialize(prints.groupBy("fingerprint_bits").agg(F.min("doc_id").alias("least")), "simhash-classes")
+    joined = components(links(classes.select("fingerprint_bits", F.col("fingerprint_bits").alias("node")), radius))
+    of = classes.join(joined.withColumnRenamed("node", "fingerprint_bits"), "fingerprint_bits", "left").withColumn("component", F.coalesce("component", "fingerprint_bits"))
+    of = materialize(of, "simhash-components")
+    return salted_join(of.select("fingerprint_bits", "component"), of.groupBy("component").agg(F.min("least").alias("component_id")), ["component"], "fingerprint_bits")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, words_in_shingle: int = SHINGLE_WORDS) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``: one row per row of ``docs``.
 
     Null texts count as empty; texts without a word have fingerprint zero and are linked like
     any other. ``component_id`` is the smallest id reachable over links; rows with a null id
-    get the component of their fingerprint and lend no id. Repeated rows stay repeated. An
-    empty table gives an empty result. Other columns are not read.
+    are linked too and lend no id. Repeated rows stay repeated; different texts under one id are
+    different documents. An empty table gives an empty result. Other columns are not read.
     """
-    prints = materialize(fingerprints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), "text", words_in_shingle), "simhash")
-    classes = materialize(prints.groupBy("fingerprint_bits").agg(F.min("doc_id").alias("node")), "simhash-classes")
-    joined = components(links(classes.filter("node is not null"), radius))
-    named = classes.join(joined, "node", "left").select("fingerprint_bits", F.coalesce("component", "node").alias("component_id"))
+    text_batches(docs.sparkSession)
+    prints = materialize(fingerprints(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")), "text", words_in_shingle), "simhash")
     # a fingerprint that very many documents share is dealt over the salts
-    named = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    return salted.join(named, ["fingerprint_bits", "salt"]).select("doc_id", F.lpad(F.lower(F.hex("fingerprint_bits")), 16, "0").alias("fingerprint"), "component_id")
+    met = salted_join(prints, class_components(prints, radius), ["fingerprint_bits"], "doc_id")
+    return met.select("doc_id", F.lpad(F.lower(F.hex("fingerprint_bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` without near copies: of each component, the row of its smallest id.
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, words_in_shingle: int = SHINGLE_WORDS) -> DataFrame:
+    """``docs`` without near copies: of each component of :func:`near_duplicates` one row, that of the smallest id.
 
-    Of repeated rows with that id one stays; rows with a null id stay.
+    Null ids come last, ties go by fingerprint, then by place in the files. Null and empty texts are one
+    component; an empty table gives an empty one; other columns pass through whatever their names.
     """
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    first = docs.filter(F.col(doc_id).isNotNull()).join(kept.hint("merge"), F.col(doc_id) == F.col("_kept"), "left_semi").dropDuplicates([doc_id])
-    return first.unionByName(docs.filter(F.col(doc_id).isNull()))
+    text_batches(docs.sparkSession)
+    rows = keyed_rows(docs)
+    narrow = rows.select(F.col(f"row.`{doc_id}`").cast("long").alias("doc_id"), "half", "other", F.col(f"row.`{text}`").cast("string").alias("text"))
+    prints = materialize(fingerprints(narrow, "text", words_in_shingle), "simhash")
+    met = salted_join(prints, class_components(prints, radius), ["fingerprint_bits"], "half")
+    first = met.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fingerprint_bits", "half", "other")).alias("x"))
+    # what is kept grows with the corpus: never broadcast
+    kept = rows.join(first.select("x.half", "x.other").hint("merge"), ["half", "other"], "left_semi")
+    return unboxed(kept, docs.columns)
