@@ -10,16 +10,17 @@ source is left and rounded. So a source's words differ from its target by one do
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_key, materialize, salted_join, word_count
+from .common import by_key, free_name, keyed_rows, materialize, salted_join, text_batches, unboxed, word_count
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 #: Documents that one bucket settles, and buckets whose remainders meet in the next level.
 BUCKET = 2048
+#: Rows of one source, id and size that may share a bucket, if they aren't one part in ``HOT`` of all rows.
+MOST_ALIKE, HOT = 256, 1 << 15
 SEED = 71
 
 
@@ -72,24 +73,38 @@ def settle(share, size, draw):
     return share
 
 
-def copies(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: str = "size", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED, row: str | None = None) -> DataFrame:
+def copies(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: str = "size", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED, row: str | None = None, place: str | None = None) -> DataFrame:
     """``(doc_id, size, source_size, target, taken, copies)`` and, if ``row`` lists columns, a struct ``row`` of them: one row per row of ``docs``.
 
+    ``place``, a column of numbers that stay the same however often they are read, tells rows of one source, id and
+    size apart; without it the rows are written out to number them.
+
     ``taken`` = ``copies`` * ``size``. Null sizes count as 0; documents of size 0 carry no words and
     are kept once. Sources are compared as they are, null being one of them. Reruns agree: draws
     depend on the seed, the source and the bucket, and rows of a bucket go from large to small,
     ties by id. An empty table gives an empty result; other columns are not read.
     """
+    text_batches(docs.sparkSession, 10_000)  # narrow rows
+    if not place:
+        place = free_name(docs, "place")
+        docs = materialize(docs.withColumn(place, F.monotonically_increasing_id()), "mix-places")
     carried = [F.struct(*(c.strip() for c in row.split(","))).alias("row")] if row else [F.lit(None).cast("long").alias("row")]
     key = F.concat(F.when(F.col(source).isNull(), "0").otherwise("1"), F.coalesce(F.col(source).cast("string"), F.lit("")))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), key.alias("key"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"), *carried)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), key.alias("key"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"), F.col(place).alias("place"), *carried)
     per = materialize(targets(rows, weights, most), "mix-sources")
     deal = F.ceil(F.col("n_docs") / BUCKET).cast("long")
     start = salted_join(rows.drop("source"), per.drop("source"), ["key"], "doc_id").withColumn("buckets", deal)
+    # rows of one id and size go by their hash to one bucket; where very many share it, they are dealt out by their place
+    n = per.agg(F.sum("n_docs")).first()[0] or 0
+    most_alike = max(MOST_ALIKE, -(-n // HOT))
+    alike = rows.groupBy("key", "doc_id", "size").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most_alike).select(F.col("key").alias("key_"), F.col("doc_id").alias("id_"), F.col("size").alias("size_"), F.ceil(F.col("n") / most_alike).alias("parts"))
+    # at most HOT rows, whatever the input
+    start = start.join(F.broadcast(alike), (F.col("key") == F.col("key_")) & F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("size") == F.col("size_")), "left")
+    part = F.coalesce(F.pmod(F.col("place"), F.col("parts")), F.lit(0))
     want = F.when((F.col("size") > 0) & (F.col("source_size") > 0), F.col("target") / F.col("source_size")).otherwise(1.0)
     start = start.withColumn("whole", F.floor(want).cast("long")).withColumn("share", want - F.floor(want))
-    start = start.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.col("buckets")))
-    start = start.select("key", "bucket", "buckets", "doc_id", "size", "row", "source_size", "target", "whole", "share")
+    start = start.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)) + part, F.col("buckets")))
+    start = start.select("key", "bucket", "buckets", "doc_id", "size", "place", "row", "source_size", "target", "whole", "share")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in start.schema)
 
     def bucketwise(level: int):
@@ -100,9 +115,9 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size
 
             frame = frame.assign(_n=frame["doc_id"].fillna(-(2**63)).astype("int64") if frame["doc_id"].isna().any() else frame["doc_id"])
             share = frame["share"].to_numpy().copy()
-            keys, buckets, ids, sizes = (frame[c].to_numpy() for c in ("key", "bucket", "_n", "size"))
+            keys, buckets, ids, sizes, places = (frame[c].to_numpy() for c in ("key", "bucket", "_n", "size", "place"))
             for lo, hi in zip(starts, [*starts[1:], len(frame)], strict=True):
-                order = lo + np.lexsort((ids[lo:hi], -sizes[lo:hi]))  # small ones last: what stays open is small
+                order = lo + np.lexsort((places[lo:hi], ids[lo:hi], -sizes[lo:hi]))  # small ones last: what stays open is small
                 rng = np.random.default_rng([seed, level, crc32(keys[lo].encode()), int(buckets[lo])])
                 draws = iter(rng.random(len(order)).tolist())
                 share[order] = settle(share[order].tolist(), sizes[order].tolist(), draws.__next__)
@@ -135,22 +150,20 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
 
     Sizes are written once, so that texts are read once.
     """
-    sizes = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).cast("long").alias("size")), "sizes")
-    return copies(sizes, **options)
+    sizes = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).cast("long").alias("size"), F.monotonically_increasing_id().alias("place")), "sizes")
+    return copies(sizes, place="place", **options)
 
 
 def apply_mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it; rows it doesn't take go.
 
-    Rows of a table in files are named by file and place; any other frame is written out first.
+    Null and empty texts have no words and stay once; ties and repeated rows are told apart by their place in the
+    files; an empty table gives an empty one; other columns pass through whatever their names.
     """
-    try:
-        named = docs.select("*", F.concat_ws(":", "_metadata.file_path", "_metadata.row_index").alias("_row"))
-    except AnalysisException:
-        docs = materialize(docs, "mix-rows")
-        named = docs.select("*", F.concat_ws(":", "_metadata.file_path", "_metadata.row_index").alias("_row"))
-    sizes = materialize(named.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).cast("long").alias("size"), F.xxhash64("_row").alias("half"), F.xxhash64(F.lit(1), "_row").alias("other")), "sizes")
-    taken = copies(sizes, row="half, other", **options).filter("copies > 0").select("row.half", "row.other", "copies")
+    named = keyed_rows(docs)
+    of = lambda c: F.col(f"row.`{c}`")
+    sizes = materialize(named.select(of(doc_id).alias("doc_id"), of(source).alias("source"), word_count(of(text)).cast("long").alias("size"), "half", "other"), "sizes")
+    taken = copies(sizes, row="half, other", place="half", **options).filter("copies > 0").select("row.half", "row.other", "copies")
     # the copies grow with the corpus: dealt out, never broadcast
-    met = named.withColumn("half", F.xxhash64("_row")).withColumn("other", F.xxhash64(F.lit(1), "_row")).join(taken.hint("merge"), ["half", "other"])
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    met = named.join(taken.hint("merge"), ["half", "other"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return unboxed(met, docs.columns)
