@@ -235,7 +235,7 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", most_docs: int = MOST_DOCS) -> Model:
     """Fit on a bounded sample: the whole texts of ``most_docs`` labelled documents of a class
-    (smallest hashes of their ids)."""
+    (smallest hashes of their ids). Of several texts of an id the greatest is learnt from."""
     text_batches(docs.sparkSession)
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     counted = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -245,11 +245,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         part = known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
         chosen = part if chosen is None else chosen.union(part)
 
-    # two times most_docs ids at the most
+    # two times most_docs ids at the most, and one text of each
     sample = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen.withColumnRenamed("doc_id", "id")), "id")
-    rows = sample.select(F.col("id").cast("long").alias("id"), "toxic", "text").collect()
+    rows = sample.groupBy(F.col("id").cast("long").alias("id"), "toxic").agg(F.max("text").alias("text")).collect()
     rows.sort(key=lambda r: (hash((r["id"] * 0x9E3779B97F4A7C15) & 0xFFFFFFFF), r["id"]))
-    rows = rows[: 2 * most_docs]  # repeated ids could bring more
     return fit([words_of(r["text"]) for r in rows], [r["toxic"] for r in rows], prior)
 
 
@@ -305,6 +304,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the rows that score at least ``threshold``."""
+    """``docs`` without the rows that score at least ``threshold``.
+
+    Null and empty texts, repeated rows and null ids are scored as in :func:`score_documents`; other columns pass
+    through whatever their names; an empty table gives an empty one.
+    """
     out = free_name(docs, "_score")
     return score(docs, train(docs, labels, doc_id, text), text, out, keep_text=True).filter(F.col(out) < threshold).select(*docs.columns)
