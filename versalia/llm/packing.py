@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, text_batches
 
 LENGTH = 2048
 #: Ids a worker packs at once. Bins never cross such a window, so memory is bounded by it.
@@ -22,8 +22,10 @@ WINDOW_ROWS = 20_000
 def token_ids(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with ``ids array<int>`` in place of the text, by the tiktoken rank file at ``ranks``.
 
-    Null texts count as empty; strings of special tokens are ordinary text.
+    Null texts count as empty; strings of special tokens are ordinary text. Rows are handled one by one, so
+    repeated rows and empty tables need no rule; other columns pass through, one named like ``ids`` is replaced.
     """
+    text_batches(docs.sparkSession)
     with open(ranks, "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
     kept = [f for f in docs.schema if f.name not in (text, ids)]
@@ -176,24 +178,50 @@ def pack(docs: DataFrame, end_id: int, doc_id: str = "doc_id", ids: str = "ids",
 
 
 def pieces(packs: DataFrame) -> DataFrame:
-    """The segments of packed sequences, read back: ``(doc_id, doc_row, piece, n_pieces, n_ids, ids)``."""
-    one = packs.select("ids", "width", "cu_seqlens", F.posexplode("segments").alias("k", "s"))
+    """The segments of packed sequences, read back: ``(doc_id, doc_row, piece, n_pieces, pack_id, start, room, n_ids, ids)``."""
+    room = (F.octet_length("ids") / F.col("width") - F.col("n_ids")).cast("long")
+    one = packs.select("pack_id", "ids", "width", "cu_seqlens", room.alias("room"), F.posexplode("segments").alias("k", "s"))
     start, end = F.get("cu_seqlens", F.col("k")), F.get("cu_seqlens", F.col("k") + 1)
-    return one.select("s.*", (end - start).alias("n_ids"), F.substring("ids", start * F.col("width") + 1, (end - start) * F.col("width")).alias("ids"))
+    return one.select("s.*", "pack_id", start.alias("start"), "room", (end - start).alias("n_ids"), F.substring("ids", start * F.col("width") + 1, (end - start) * F.col("width")).alias("ids"))
 
 
 def summary(packs: DataFrame) -> DataFrame:
-    """One row per packed document, from its segments: ``doc_id, n_ids, n_pieces, first_pack, pieces_sha256``.
+    """One row per packed document, from its segments: ``doc_id, n_ids, n_pieces, first_pack, first_start, room, pieces_sha256``.
 
-    ``n_ids`` counts the end id; ``pieces_sha256`` is the digest of the comma-joined hex digests of the
-    document's pieces (little-endian ids), in order. Only digests are shuffled.
+    ``n_ids`` counts the end id; ``first_pack`` and ``first_start`` say where its first piece begins, ``room`` how
+    many places are padding in the sequences that hold its pieces; ``pieces_sha256`` is the digest of the
+    comma-joined hex digests of the document's pieces (little-endian ids), in order. Only digests are
+    shuffled. An empty table gives no row; repeated rows and null ids are documents of their own.
     """
-    told = pieces(packs).select("doc_id", "doc_row", "n_ids", F.struct("piece", F.sha2("ids", 256).alias("h")).alias("p"))
-    return told.groupBy("doc_row", "doc_id").agg(F.sum("n_ids").alias("n_ids"), F.sort_array(F.collect_list("p")).alias("p")).select(
-        "doc_id", "n_ids", F.size("p").cast("long").alias("n_pieces"), F.sha2(F.array_join(F.transform("p", lambda x: x["h"]), ","), 256).alias("pieces_sha256")
+    at = F.struct("piece", "pack_id", "start", F.sha2("ids", 256).alias("h"))
+    told = pieces(packs).select("doc_id", "doc_row", "n_ids", "room", at.alias("p"))
+    first = F.get("p", F.lit(0))
+    return told.groupBy("doc_row", "doc_id").agg(F.sum("n_ids").alias("n_ids"), F.sum("room").alias("room"), F.sort_array(F.collect_list("p")).alias("p")).select(
+        "doc_id", "n_ids", F.size("p").cast("long").alias("n_pieces"), first["pack_id"].alias("first_pack"), first["start"].cast("long").alias("first_start"), "room",
+        F.sha2(F.array_join(F.transform("p", lambda x: x["h"]), ","), 256).alias("pieces_sha256"),
     )
 
 
 def written(packs: DataFrame) -> DataFrame:
     """Write the sequences to the shared folder and read them again."""
     return materialize(packs, "packs")
+
+
+def fill(packs: DataFrame) -> DataFrame:
+    """``(packs, ids, places, share)``: how full the sequences are, in one row."""
+    places = F.octet_length("ids") / F.col("width")
+    return packs.agg(F.count(F.lit(1)).alias("packs"), F.sum("n_ids").alias("ids"), F.sum(places).cast("long").alias("places"), (F.sum("n_ids") / F.sum(places)).alias("share"))
+
+
+def write_matrix(packs: DataFrame, path: str, end_id: int, width: int = 2) -> None:
+    """Binary id matrices under ``path/ids``, and ``path/index`` (Parquet) with the rest of each sequence.
+
+    A file is a matrix of little-endian numbers of ``width`` bytes, a sequence a row, with one more column
+    that holds ``end_id`` (it ends the rows for Spark's text writer). The files of a partition of ``packs``, read
+    from files, have its number in both folders, and rows in the same order. Sequences of another width are an error.
+    """
+    right = F.assert_true(F.col("width") == width, F.lit("sequences of another width")).isNull()
+    end = end_id.to_bytes(width, "little").decode("latin-1")
+    # bytes stay as they are: the cast doesn't decode, and this encoding has a character for every byte
+    packs.filter(right).select(F.col("ids").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", end).text(f"{path}/ids")
+    packs.select("pack_id", "n_ids", "cu_seqlens", "position_resets", "segments").write.parquet(f"{path}/index")
