@@ -17,13 +17,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_join, scratch_path
+from .common import salted_join, scratch_path, text_batches, until_exit
 
 VERSION = b"WARC/1.1"
 END = b"\r\n\r\n"
 #: Payloads of fewer bytes are always written out.
 LEAST_SHARED = 100
-RECORDS_A_FILE = 4000
+#: Bytes of members that are written as one row, and such rows in a file.
+BUNDLE, BUNDLES_A_FILE = 1 << 22, 64
 EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 MAGIC = b"\x1f\x8b\x08"
 #: A later member or version line to go on from after damage.
@@ -213,30 +214,37 @@ def first_of_equals(pages: DataFrame) -> DataFrame:
     return joined.withColumn("first", F.when(F.col("page_id") > F.col("low"), F.col("low"))).drop("low")
 
 
-def write_warc(pages: DataFrame, path: str, records_a_file: int = RECORDS_A_FILE) -> None:
+def write_warc(pages: DataFrame, path: str, bundle: int = BUNDLE, bundles_a_file: int = BUNDLES_A_FILE) -> None:
     """Write a record per row of ``pages(page_id long, url string, html string)`` to archives under ``path``.
 
     Null html is an empty payload, null urls an empty target. Other columns are ignored; an
-    empty table gives no archive with a record.
+    empty table gives no archive with a record. A file ends after ``bundle * bundles_a_file`` bytes and
+    what its last record takes, so that it can be read as a whole.
     """
 
     def run(batches):
         import pyarrow as pa
 
+        def rows(members: list[bytes]) -> list[bytes]:
+            whole = b"".join(members)
+            return [whole, *[EMPTY_MEMBER] * (len(whole) // bundle)]  # the writer counts rows: a large one counts as several
+
+        held, size = [], 0
         for batch in batches:
-            out, held = [], 0
             for x in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "first")), strict=True):
-                out.append(member(record(x[0], x[1], x[2].encode(), x[3], x[4])))
-                held += len(out[-1])
-                if held > 1 << 24:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
-                    out, held = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
-
+                held.append(member(record(x[0], x[1], x[2].encode(), x[3], x[4])))
+                size += len(held[-1])
+                if size >= bundle:
+                    yield pa.RecordBatch.from_arrays([pa.array(rows(held), pa.binary())], ["value"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(rows(held), pa.binary())], ["value"])
+
+    text_batches(pages.sparkSession, 500)
     typed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     members = first_of_equals(typed).select("page_id", "url", "html", "digest", "first").mapInArrow(run, "value binary")
     # bytes stay as they are: the cast doesn't decode, and this encoding has a character for every byte
-    writer = members.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", records_a_file)
+    writer = members.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", bundles_a_file)
     writer.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(path)
 
 
@@ -249,7 +257,8 @@ def read_warc(spark, path: str) -> DataFrame:
     its header is a gap (``payload``). Digests are verified by the algorithm they name, in hex or
     base32; unknown ones and other forms count as unverified. ``payload_digest`` is the payload's
     SHA-256. Only HTTP messages have a head that isn't payload. A revisit has no payload; its size and
-    digest are those in its headers.
+    digest are those in its headers. No file gives no row. Each file is read as a whole in one task, so it must be
+    below 2 GB; :func:`write_warc` bounds its files by bytes.
     """
 
     def rows(file: str, data: bytes) -> Iterator[tuple]:
@@ -296,7 +305,11 @@ def read_warc(spark, path: str) -> DataFrame:
 
 
 def archive_and_read(pages: DataFrame) -> DataFrame:
-    """Write ``pages`` to archives in the shared folder and read them back: one row per page."""
+    """Write ``pages`` to archives in the shared folder and read them back: one row per page.
+
+    Null ids, urls and html, repeated rows and an empty table as in :func:`write_warc`; other columns are ignored.
+    """
     path = scratch_path(pages.sparkSession, "warc")
     write_warc(pages, path)
+    until_exit(pages.sparkSession, path)
     return read_warc(pages.sparkSession, path).filter("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
