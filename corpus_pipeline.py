@@ -6,12 +6,14 @@ the next one's ``docs``.
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versalia.llm import bpe, mixing, secrets, simhash, toxicity
-from versalia.llm.common import materialize
+from versalia.llm.common import settled
 from versalia.llm.queries import TOKENIZER, table
 
 
@@ -22,7 +24,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates, the document of the smallest id."""
-    return simhash.keep_one(docs, simhash.near_duplicates(docs))
+    return simhash.keep_one(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +57,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other over all documents; what a stage needed besides its result is deleted after it."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = settled(spark, partial(stage, spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
