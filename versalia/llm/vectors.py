@@ -8,12 +8,13 @@ the first of them only.
 
 from __future__ import annotations
 
+from itertools import count
 from math import acos, ceil, log, log2, pi
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_blocks, by_key, components, materialize, salted_join
+from .common import bucket_blocks, by_key, components, materialize, salted_join, text_batches
 
 THRESHOLD = 0.98
 #: Share of the pairs right at the threshold that must meet in some table.
@@ -35,7 +36,7 @@ def planes(dim: int, signs: int, tables: int, seed: int = SEED):
     return np.random.default_rng([seed, dim]).standard_normal((dim, signs * tables))
 
 
-def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, salts: int = 16) -> DataFrame:
+def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for ``rows(vec_id, embedding, label)``: one row per row.
 
     Vectors link when their labels are equal and not null and their cosine (double precision)
@@ -46,12 +47,19 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, recall: float =
     Other columns are not read. Pairs at the threshold are missed with probability
     1 - ``recall``; nothing below it links.
     """
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("long").alias("label"))
+    text_batches(rows.sparkSession, 10_000)
+    wide = rows.schema["embedding"].dataType.simpleString() == "array<double>"
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>" if wide else "array<float>").alias("embedding"), F.col("label").cast("long").alias("label"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.col("label").isNotNull() & F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    kinds = rows.filter(usable).groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    # classes have numbers of their own: ids may repeat or be null
-    kinds = reps = materialize(kinds.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
+    for seed in count(2, 2):
+        hashed = rows.filter(usable).withColumns({"h": F.xxhash64("embedding", F.lit(seed)), "g": F.xxhash64(F.lit(seed + 1), "embedding")})
+        kinds = hashed.groupBy("label", "h", "g", "embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+        # classes have numbers of their own: ids may repeat or be null
+        kinds = reps = materialize(kinds.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
+        # vectors find their class by the hashes, which must tell all classes of a label apart
+        if kinds.groupBy("label", "h", "g").count().filter("count > 1").isEmpty():
+            break
     most = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     signs, tables = tables_for(most, threshold, recall)
 
@@ -122,11 +130,7 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, recall: float =
     counts = met.filter("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     of = materialize(kinds.select("node", "least").join(joined, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")), "vector-components")
     named = salted_join(of.select("node", "component"), of.groupBy("component").agg(F.min("least").alias("component_id")), ["component"], "node")
-    told = kinds.join(counts, "node", "left").join(named, "node").select(
-        "label", "embedding", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id",
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
-    )
-    salted = rows.filter(usable).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int"))
-    linked = salted.join(told, ["label", "embedding", "salt"]).select("vec_id", "n_links", "component_id")
+    told = kinds.select("node", "label", "h", "g", "copies").join(counts, "node", "left").join(named, "node").select("label", "h", "g", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
+    linked = salted_join(hashed.select("vec_id", "label", "h", "g"), told, ["label", "h", "g"], "vec_id").select("vec_id", "n_links", "component_id")
     alone = rows.filter(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
