@@ -5,7 +5,9 @@ import pytest
 import __spark_entry__ as entry
 from tests.golden import CASES
 from versalia.operators import lexicon as L
-from versalia.operators.recase import recase, separable, spans
+from versalia.operators import relational
+from versalia.operators.recase import recase, spans
+from versalia.operators.relational import separable
 from versalia.operators.tokens import reconstruct, tokenize
 from versalia.options import CaseMode, CaseOptions, SeparatorStyle
 from versalia.plans import plugins

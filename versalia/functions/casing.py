@@ -34,12 +34,15 @@ def upper_first(word: Column, language: str) -> Column:
 
 
 def titlecase(word: Column, language: str, profile: Profile) -> Column:
-    """Each part between hyphens capitalized; a lone letter or elided article before an apostrophe is a part of its own."""
+    """Each part between hyphens capitalized; a lone letter or elided article before an apostrophe is a part of its own.
+
+    Only the first apostrophe between hyphens is looked at.
+    """
 
     def part(x: Column) -> Column:
         head, mark, tail = (F.regexp_extract(x, r"(?s)^([^'’]+)(['’])(.+)$", i) for i in (1, 2, 3))
         split = F.concat(capitalize(head, language), mark, capitalize(tail, language))
-        lone = (F.length(head) == 1) & ~F.regexp_extract(lower(tail, language), "^[^'’]*", 0).isin(*profile.contraction_tails or [""])
+        lone = (F.length(F.regexp_replace(head, r"\P{IsAlphabetic}", "")) == 1) & ~F.regexp_extract(lower(tail, language), "^[^'’]*", 0).isin(*profile.contraction_tails or [""])
         out = F.when(lone, split).otherwise(capitalize(x, language))
         if profile.elisions:
             elided = F.concat(lower(head, language), mark, capitalize(tail, language))

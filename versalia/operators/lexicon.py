@@ -30,7 +30,8 @@ def canonical(lexicon: DataFrame, locale: str) -> DataFrame:
 
 
 def phrase_table(lexicon: DataFrame, locale: str) -> DataFrame:
-    return _first(lexicon, locale, ["multiword-map", "canonical-map"]).filter(F.col("key").contains(" ")).select(F.col("key").alias("phrase"), "value")
+    """Phrases come from multiword maps alone; a canonical-map key with a space in it matches nothing."""
+    return _first(lexicon, locale, ["multiword-map"]).filter(F.col("key").contains(" ")).select(F.col("key").alias("phrase"), "value")
 
 
 def best_candidates(lexicon: DataFrame, locale: str) -> DataFrame:
@@ -39,9 +40,11 @@ def best_candidates(lexicon: DataFrame, locale: str) -> DataFrame:
     return good.groupBy(F.col("key").alias("cand_key")).agg(F.max_by("value", F.struct("score", "ord")).alias("cand_value"))
 
 
-def contains_word(words: DataFrame, lexicon: DataFrame, locale: str, word: str = "word") -> DataFrame:
+def contains_word(words: DataFrame, lexicon: DataFrame, locale: str, word: str = "word", missing: bool = False) -> DataFrame:
+    """Rows whose ``word`` the word sets of the locale have, or with ``missing`` lack. Null words are in no set;
+    repeated rows and all columns are kept."""
     listed = lexicon.filter((F.col("kind") == "word-set") & (F.col("locale") == locale)).select(F.col("key").alias(word))
-    return words.join(listed, word, "left_semi")
+    return words.join(listed, word, "left_anti" if missing else "left_semi")
 
 
 def merge(first: DataFrame, *others: DataFrame) -> DataFrame:

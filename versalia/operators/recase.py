@@ -1,284 +1,636 @@
-"""Recasing as one relational plan: generate tokens, windows per text, cascade, phrases, aggregate.
+"""Recasing in one pass: each text is read, decided and written by one worker, and nothing is shuffled.
 
-All windows partition by the key (or the key and a counter within it), so that one exchange by key
-serves them. Running frames only: look-ahead goes by ``lead`` or by a running frame in
-descending order, never by an unbounded following frame, which costs the square of a text's length.
+Texts don't depend on each other, so a batch of them is one array of token numbers. What the decisions need
+(sentences, neighbours, separators, segments, edges) are array operations over all texts of the batch, and what
+depends on the word alone (classes, cased forms, lexicon values) is computed once for each different
+word that a worker meets. ``relational`` states the same as joins and windows; tests hold the two
+together, and lexicons too large to send to workers go by it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
+from string import punctuation
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import casing as C
+from ..functions import words as W
 from ..functions.profiles import BUILTIN_AMBIGUOUS, BUILTIN_FORMS, BUILTIN_PHRASES, GERMAN_AMBIGUOUS, GERMAN_ARTICLES, GERMAN_NOUN_ENDS, profile
 from ..options import CaseMode, CaseOptions, GermanMode, SeparatorStyle
 from . import lexicon as L
-from .tokens import tokenize
+from . import relational
+from .tokens import PUNCTUATION
 
-WIDE_TERMINALS = list("。！？｡؟।॥")
-TERMINALS = [*".!?…", *WIDE_TERMINALS]
-SEPARATORS = list(":-–—")
-CONFIDENCE = ["Solid", "Unverified", "Heuristic"]
-RANK = {"AcronymPreserved": 2, "ProperNounPreserved": 2, "GermanNoun": 2, "Capitalized": 1}
+#: Characters of texts that are decided at once; a longer text is a batch of its own.
+AT_ONCE = 1 << 18
+#: Different tokens that a worker remembers; beyond it starts anew.
+REMEMBERED = 200_000
+#: Rows and characters of a lexicon that are sent to every worker. Larger ones are first cut to the words that occur.
+SENT_ROWS, SENT_CHARS = 400_000, 1 << 24
+#: Names of rules; numbers are places in this list, 0 is no rule.
+RULES = ["", "CanonicalLexicon", "AcronymPreserved", "MixedCasePreserved", "ProperNounPreserved", "GermanNoun", "SentenceStart", "TitleEdge", "Capitalized", "SmallWord", "AlwaysCapitalized", "Lowercased", "WhitespaceCollapsed", "SubtitleSeparator", "MultiwordLexicon"]
+NUMBER = {name: n for n, name in enumerate(RULES)}
+RANKS = [relational.RANK.get(name, 0) for name in RULES]
 
+MARKS = {*punctuation, *PUNCTUATION}
+_LATIN = "0-9A-Za-zªµºÀ-ÖØ-öø-ÿ²³¹¼-¾"
+_LATIN_TOKENS = re.compile(rf"(?s)[\t-\r \x85\xa0]+|[{_LATIN}]+(?:['\-][{_LATIN}]+)*|.")
 
-def _in(word: Column, words) -> Column:
-    return word.isin(*words) if words else F.lit(False)
 
+def token_finder() -> Callable[[str], list[str]]:
+    """Cuts a text into its tokens. Texts of the first 256 code points have a pattern without property classes."""
+    import regex
 
-def classes(tokens: DataFrame, language: str) -> DataFrame:
-    """Tokens with the classes of words that later steps ask for, so that each pattern runs once and below the windows.
+    others = regex.compile(r"(?s)\p{White_Space}+|[\p{Alphabetic}\p{N}]+(?:['’\-‐‑][\p{Alphabetic}\p{N}]+)*|.").findall
+    latin = _LATIN_TOKENS.findall
 
-    Words that begin with a to z, or are lower-case ASCII throughout, need no pattern for most of them.
-    """
-    raw, word = F.col("raw"), F.col("kind") == "word"
-    easy = F.left(raw, F.lit(1)).between("a", "z")
-    t = tokens.withColumn("lower", F.when(word, C.lower(raw, language)))
-    small = (F.octet_length(raw) == F.length(raw)) & (raw == F.lower(raw))
-    return t.withColumns({
-        "alpha": word & (easy | raw.rlike(r"\p{IsAlphabetic}")),
-        "caps": word & ~easy & raw.rlike(r"\p{IsAlphabetic}") & ~raw.rlike(r"\p{IsLowercase}"),
-        "up": word & ~small & raw.rlike(r"\p{IsUppercase}"),
-        "starts_up": word & ~easy & raw.rlike(r"^\p{IsUppercase}"), "starts_num": word & ~easy & raw.rlike(r"^\p{N}"),
-    })
+    def found(text: str) -> list[str]:
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return others(text)
+        return latin(text)
+
+    return found
+
+
+# what is known of a token, a bit each
+(WORD, SPACE, PUNCT, SYMBOL, ALPHA, CAPS, UP, STARTS_UP, STARTS_NUM, LONG, SMALL, ACRONYM, MIXED, SIMPLE, SINGLE, TITLE_ABBR, NUMERIC_ABBR, TRAILING_ABBR, DIGITS, ONE, TERMINAL, WIDE, ELLIPSIS,
+ DOT, SEPARATOR, COLON, HYPHEN, LINE, KNOWN, UNSURE, ALWAYS, NOUN, ARTICLE, ADVERB, CASED, OPENS, BEST, AS_BLANK, AS_FEED) = (1 << k for k in range(39))
+# forms of a token, by place
+RAW, LOW, CAP, SHOWN, EDGE, FORM, GERMAN, LIFTED = range(8)
+FORMS = 8
+#: Tokens that every table begins with: the mark between texts, nothing, a space, a line feed, the rewritten separator.
+FIXED = 5
+NOTHING, BLANK, FEED, REWRITTEN = (k * FORMS for k in range(1, FIXED))
+
+
+@dataclass(frozen=True)
+class Dictionary:
+    """A lexicon in the form that workers look things up in, for one locale."""
 
+    forms: dict[str, str]
+    phrases: dict[str, str]
+    best: dict[str, str]
 
-def separable(table: dict[str, str]) -> bool:
-    """Whether no phrase can begin inside another one, so that matches are found at each place by itself."""
-    lists = [p.split(" ") for p in table]
-    return not any(a[i : i + len(b)] == b[: len(a) - i] for a in lists for b in lists for i in range(1, len(a)))
 
+NO_WORDS = Dictionary({}, {}, {})
 
-def mark_phrases(t: DataFrame, table: dict[str, str]) -> DataFrame:
-    """Adds ``phrase``, the form of the longest phrase of ``table`` that begins at a token, and ``start`` on all its tokens.
 
-    ``table`` is a few literals and :func:`separable`; words are two tokens apart, with white space between.
+class Table(dict):
+    """Numbers of tokens, with what is known of each; for one worker, options and lexicon.
+
+    ``text`` has ``FORMS`` strings a token. ``flags`` and ``sizes`` are arrays that follow it when they are asked for.
     """
-    by = Window.partitionBy("key").orderBy("pos")
-    most = max(p.count(" ") for p in table)
-    words = [F.col("lower"), *(F.lead(F.when(F.col("kind") == "word", F.col("lower")), 2 * k).over(by) for k in range(1, most + 1))]
-    gaps = [F.lead("kind", 2 * k - 1).over(by) for k in range(1, most + 1)]
-    t = t.withColumns({f"w{k}_": w for k, w in enumerate(words)} | {f"g{k}_": g for k, g in enumerate(gaps, 1)})
-    found = F.lit(None).cast("struct<phrase:string,size:int>")
-    for phrase in sorted(table, key=lambda p: p.count(" ")):
-        parts = phrase.split(" ")
-        same = F.col("w0_") == parts[0]
-        for k, part in enumerate(parts[1:], 1):
-            same = same & (F.col(f"g{k}_") == "space") & (F.col(f"w{k}_") == part)
-        found = F.when(same, F.struct(F.lit(table[phrase]).alias("phrase"), F.lit(2 * len(parts) - 1).alias("size"))).otherwise(found)
-    t = t.withColumn("m_", found).drop(*(f"w{k}_" for k in range(most + 1)), *(f"g{k}_" for k in range(1, most + 1)))
-    held = F.last(F.when(F.col("m_").isNotNull(), F.struct("pos", F.col("m_.size").alias("size"))), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    t = t.withColumn("held_", held)
-    start = F.when(F.col("pos") < F.col("held_.pos") + F.col("held_.size"), F.col("held_.pos"))
-    return t.withColumn("start", start).withColumn("phrase", F.col("m_.phrase")).drop("m_", "held_")
-
-
-def write_phrases(t: DataFrame, language: str) -> DataFrame:
-    """Puts the phrases that :func:`mark_phrases` found in the place of their tokens."""
-    hit = F.col("start").isNotNull()
-    value = F.when(F.col("cap"), C.upper_first(F.col("phrase"), language)).otherwise(F.col("phrase"))
-    text = F.when(hit, F.when(F.col("pos") == F.col("start"), value).otherwise("")).otherwise(F.col("text"))
-    return t.withColumn("text", text).withColumn("rule", F.when(hit, "MultiwordLexicon").otherwise(F.col("rule")))
-
-
-def contexts(tokens: DataFrame, options: CaseOptions) -> DataFrame:
-    """Tokens with what the cascade needs: sentence, shouting, title_like, starts, separators, previous words, edges."""
-    p, lang = profile(options.language), options.language
-    key = Window.partitionBy("key")
-    by, back = key.orderBy("pos"), key.orderBy(F.desc("pos"))
-    before, after = by.rowsBetween(Window.unboundedPreceding, -1), back.rowsBetween(Window.unboundedPreceding, -1)
-    word = F.col("kind") == "word"
-    raw, kind = F.col("raw"), F.col("kind")
-    t = classes(tokens, lang)
-    ahead = F.when(word, F.when(F.col("starts_up"), 1).when(F.col("starts_num"), 2).otherwise(0))
-    t = t.withColumn("ahead", F.last(ahead, ignorenulls=True).over(after))
-    if options.preserve_known_proper_nouns and separable(BUILTIN_PHRASES):
-        t = mark_phrases(t, BUILTIN_PHRASES)
-    for n in (1, 2):
-        t = t.withColumn(f"p{n}", F.lag(F.struct("raw", "kind", "lower"), n).over(by)).withColumn(f"n{n}", F.lead(F.struct("raw", "kind"), n).over(by))
-    next_cap, next_digit = (F.coalesce(F.col("ahead") == n, F.lit(False)) for n in (1, 2))
-    dot = raw == "."
-    near = lambda c, v: F.coalesce(F.col(c)["raw"] == v, F.lit(False))
-    of = lambda c, v: F.coalesce(F.col(c)["kind"] == v, F.lit(False))
-    prev = F.col("p1")["lower"]
-    stop = F.when(_in(prev, p.title), False).when(_in(prev, p.numeric), ~next_digit).when(_in(prev, p.trailing), next_cap).otherwise(~C.single_letter(F.col("p1")["raw"]))
-    boundary = (
-        F.when(~((kind == "punct") & raw.isin(*TERMINALS)), False).when(raw.isin(*WIDE_TERMINALS), True)
-        .when((raw == "…") | (dot & (near("p1", ".") | near("n1", "."))), F.when(near("n1", "."), False).otherwise(next_cap))
-        .when(dot & of("n1", "word"), False).when(dot & of("p1", "word"), stop).otherwise(True)
-    )
-    left = F.when(of("p1", "space"), F.col("p2")).otherwise(F.struct(F.col("p1")["raw"], F.col("p1")["kind"], F.col("p1")["lower"]))
-    right = F.when(of("n1", "space"), F.col("n2")).otherwise(F.col("n1"))
-    digits = lambda x: x.rlike("^[0-9]+$")
-    ranged = (digits(left["raw"]) & digits(right["raw"])) | ((F.length(left["raw"]) == 1) & (F.length(right["raw"]) == 1))
-    flanked = F.coalesce((left["kind"] == "word") & (right["kind"] == "word") & ~ranged, F.lit(False))
-    spaced = of("p1", "space") & of("n1", "space")
-    attached = (raw != "-") & of("p1", "word") & of("n1", "word")
-    sep = F.coalesce((kind == "punct") & raw.isin(*SEPARATORS) & flanked & F.when(raw == ":", of("n1", "space")).otherwise(spaced | attached), F.lit(False))
-    t = t.withColumn("boundary", F.coalesce(boundary, F.lit(False))).withColumn("sep", sep)
-    count = lambda c: F.coalesce(F.sum(c.cast("int")).over(before), F.lit(0))
-    t = t.withColumns({
-        "sent": count(F.col("boundary")), "seps": count(F.col("sep")), "seg": count(kind.isin("punct", "symbol")) + F.coalesce(kind.isin("punct", "symbol").cast("int"), F.lit(0)),
-        "sep_before": F.coalesce(F.lag("sep").over(by), F.lit(False)), "sep_after": F.coalesce(F.lead("sep").over(by), F.lit(False)),
-        "first_word": F.min(F.when(word, F.col("pos"))).over(key), "last_word": F.max(F.when(word, F.col("pos"))).over(key),
-        "first_mark": F.min(F.when(kind != "space", F.col("pos"))).over(key), "last_mark": F.max(F.when(kind != "space", F.col("pos"))).over(key),
-    })
-    sentence = Window.partitionBy("key", "sent")
-    alpha, caps, upper = F.col("alpha"), F.col("caps"), F.col("up")
-    small = _in(F.col("lower"), (*p.stop, *p.particles))
-    long_caps = caps & (F.length(F.regexp_replace(raw, r"\P{IsAlphabetic}", "")) >= 5)
-    any_of = lambda c: F.coalesce(F.max(F.when(alpha, c)).over(sentence), F.lit(False))
-    all_of = lambda c: F.coalesce(F.min(F.when(alpha, c)).over(sentence), F.lit(True))
-    t = t.withColumn("first_alpha", F.min(F.when(alpha, F.col("pos"))).over(sentence))
-    rest = alpha & (F.col("pos") > F.col("first_alpha"))
-    segment = Window.partitionBy("key", "seg").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return t.withColumns({
-        "small": small, "shouting": any_of(caps) & (all_of(caps) | (all_of(caps | small) & any_of(long_caps))),
-        "title_like": F.coalesce(F.min(F.when(rest, upper | small)).over(sentence), F.lit(True)) & (F.sum((rest & upper).cast("int")).over(sentence) >= 2),
-        "starts": word & (F.col("pos") == F.min(F.when(word, F.col("pos"))).over(sentence)),
-        "after_sep": word & (F.col("seps") > F.coalesce(F.last(F.when(word, F.col("seps")), ignorenulls=True).over(before), F.lit(0))),
-        "prev_word": F.last(F.when(word, F.col("lower")), ignorenulls=True).over(segment),
-        "edge": word & ((F.col("pos") == F.col("first_word")) | (F.col("pos") == F.col("last_word"))),
-    })
-
-
-def cascade(t: DataFrame, options: CaseOptions, lexicon: DataFrame | None) -> DataFrame:
-    """Adds ``text`` and ``rule``: the decision for every word, the normal form of white space and separators."""
-    p, lang, mode = profile(options.language), options.language, options.mode
-    title = mode is CaseMode.TITLE
-    raw, low = F.col("raw"), F.col("lower")
-    user = best = F.lit(None).cast("string")
-    if lexicon is not None:
-        t = t.join(L.canonical(lexicon, options.locale), t["lower"] == F.col("lex_key"), "left").drop("lex_key")
-        user = F.col("lex_value")
-        if lang == "de" and options.german_mode is GermanMode.AGGRESSIVE:
-            t = t.join(L.best_candidates(lexicon, "de"), t["lower"] == F.col("cand_key"), "left").drop("cand_key")
-            best = F.col("cand_value")
-    subtitle = F.col("after_sep") if options.capitalize_after_subtitle and mode is not CaseMode.SENTENCE else F.lit(False)
-    cap = F.col("starts") | subtitle
-    plain = ~F.col("shouting") & ~F.col("title_like")
-    signal = F.lit(True) if title else (raw != low) & plain
-    forms = F.lit(None).cast("string")
-    for k, v in BUILTIN_FORMS.items():
-        forms = F.when(low == k, F.lit(v)).otherwise(forms)
-    known = F.coalesce(user, F.when(~low.isin(*BUILTIN_AMBIGUOUS) | signal, forms))
-    one = lambda text, rule: F.struct(text.alias("text"), F.lit(rule).alias("rule"))
-    chain = F
-    rules: list[tuple[Column, Column]] = []
-    if options.preserve_known_proper_nouns:
-        rules.append((known.isNotNull(), one(known, "CanonicalLexicon")))
-    if options.preserve_acronyms:
-        rules.append((F.col("up") & ~F.col("shouting") & C.acronym(raw), one(raw, "AcronymPreserved")))
-    if options.preserve_mixed_case:
-        rules.append((F.col("up") & C.mixed_case(raw), one(raw, "MixedCasePreserved")))
-    if options.preserve_existing_capitals and not title:
-        rules.append((F.col("up") & ~cap & plain & C.simple_capitalized(raw), one(raw, "ProperNounPreserved")))
-    if lang == "de" and options.german_mode >= GermanMode.BALANCED:
-        noun = ~low.isin(*GERMAN_AMBIGUOUS) & (F.octet_length(low) > 2) & (low.rlike(f"({'|'.join(GERMAN_NOUN_ENDS)})$") | F.coalesce(F.col("prev_word").isin(*GERMAN_ARTICLES), F.lit(False)))
-        german = F.coalesce(best, F.when(noun, C.capitalize(raw, lang)))
-        lift = (cap | F.col("edge")) if title else cap
-        rules.append((german.isNotNull(), one(F.when(lift, C.upper_first(german, lang)).otherwise(german), "GermanNoun")))
+
+    def __init__(self, options: CaseOptions, lexicon: Dictionary) -> None:
+        import numpy as np
+        import regex
+
+        self.options, self.lexicon, self.lang = options, lexicon, options.language
+        self.title = options.mode is CaseMode.TITLE
+        self.profile = p = profile(self.lang)
+        known = options.preserve_known_proper_nouns
+        self.forms = BUILTIN_FORMS | lexicon.forms if known else {}
+        self.phrases = BUILTIN_PHRASES | lexicon.phrases if known else {}
+        self.openers = {k.split(" ")[0] for k in self.phrases}
+        self.longest = max((k.count(" ") + 1 for k in self.phrases), default=0)
+        self.nouns = self.lang == "de" and options.german_mode >= GermanMode.BALANCED
+        self.best = lexicon.best if self.nouns and options.german_mode is GermanMode.AGGRESSIVE else {}
+        #: bits of single words, by their lower-case form
+        self.listed: dict[str, int] = {}
+        always = ["i", "i'm", "i'll", "i've", "i'd"] if self.lang == "en" and not self.title else []
+        lists = [(SMALL, (*p.stop, *p.particles)), (TITLE_ABBR, p.title), (NUMERIC_ABBR, p.numeric), (TRAILING_ABBR, p.trailing), (ALWAYS, (*always, *(x.replace("'", "’") for x in always[1:])))]
+        lists += [(OPENS, self.openers), (KNOWN, self.forms), (UNSURE, [x for x in BUILTIN_AMBIGUOUS if known and x not in lexicon.forms])]
+        lists += [(ARTICLE, GERMAN_ARTICLES), (ADVERB, GERMAN_AMBIGUOUS), (BEST, self.best)] if self.nouns else []
+        for bit, words in lists:
+            for w in words:
+                self.listed[w] = self.listed.get(w, 0) | bit
+        has = lambda pattern: regex.compile(pattern).search
+        self.lower, self.upper = has(r"\p{Lowercase}"), has(r"\p{Uppercase}")
+        self.starts_num, self.space, self.is_word = has(r"^\p{N}"), has(r"^\p{White_Space}"), has(r"^[\p{Alphabetic}\p{N}]")
+        self.letters = regex.compile(r"\P{Alphabetic}").sub
+        self.mixed, self.simple = has(r"(?s)\p{Alphabetic}.*\p{Uppercase}"), has(r"(?s)^\p{Uppercase}.*\p{Alphabetic}")
+        fixed = ["", "", " ", "\n", options.separators.value or ""]
+        self.text = [x for x in fixed for _ in range(FORMS)]
+        self.bits = [0] * len(fixed)
+        self._flags, self._sizes = np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    @property
+    def flags(self):
+        import numpy as np
+
+        if len(self._flags) < len(self.bits):
+            self._flags = np.append(self._flags, np.array(self.bits[len(self._flags) :], np.int64))
+        return self._flags
+
+    @property
+    def sizes(self):
+        """Bytes of each string in ``text``."""
+        import numpy as np
+
+        if len(self._sizes) < len(self.text):
+            new = self.text[len(self._sizes) :]
+            self._sizes = np.append(self._sizes, np.fromiter((len(x) if x.isascii() else len(x.encode()) for x in new), np.int32, len(new)))
+        return self._sizes
+
+    def __missing__(self, raw: str) -> int:
+        n = self[raw] = len(self.bits)
+        bits, forms = self.described(raw)
+        self.bits.append(bits)
+        self.text += forms
+        return n
+
+    def classes(self, raw: str) -> int:
+        """Bits that follow from the characters of a word. Most words are letters of one case, with or without a capital."""
+        if raw.isalpha():
+            if raw.islower():
+                return WORD | ALPHA | (SINGLE | ONE if len(raw) == 1 else 0)
+            if raw[0].isupper() and raw[1:].islower():
+                return WORD | ALPHA | UP | STARTS_UP | SIMPLE
+        elif raw.isascii() and raw.isdigit():
+            return WORD | STARTS_NUM | DIGITS | ONE * (len(raw) == 1)
+        letters = self.letters("", raw)
+        alpha, up, small = bool(letters), bool(self.upper(raw)), bool(self.lower(raw))
+        bits = WORD | ALPHA * alpha | CAPS * (alpha and not small) | UP * up | STARTS_UP * bool(self.upper(raw[0])) | STARTS_NUM * bool(self.starts_num(raw))
+        bits |= LONG * (alpha and not small and len(letters) >= 5) | ACRONYM * (len(letters) >= 2 and all(map(self.upper, letters)))
+        bits |= MIXED * (small and bool(self.mixed(raw))) | SIMPLE * (bool(self.simple(raw)) and not self.upper(raw[1:]))
+        return bits | (ONE | SINGLE * alpha if len(raw) == 1 else 0)
+
+    def described(self, raw: str) -> tuple[int, list[str]]:
+        """Bits and forms of a token."""
+        if not self.is_word(raw):
+            if self.space(raw):
+                return SPACE | LINE * ("\n" in raw) | AS_BLANK * (raw == " ") | AS_FEED * (raw == "\n"), [raw] * FORMS
+            bits = PUNCT if raw in MARKS else SYMBOL
+            if bits == PUNCT:
+                bits |= TERMINAL * (raw in relational.TERMINALS) | WIDE * (raw in relational.WIDE_TERMINALS) | ELLIPSIS * (raw == "…") | DOT * (raw == ".")
+                bits |= SEPARATOR * (raw in relational.SEPARATORS) | COLON * (raw == ":") | HYPHEN * (raw == "-")
+            return bits, [raw] * FORMS
+        lang, low = self.lang, W.lower(raw, self.lang)
+        bits = self.classes(raw) | self.listed.get(low, 0) | CASED * (raw != low)
+        capital = W.capitalize(raw, lang)
+        forms = [raw, low, capital, raw, raw, raw, raw, raw]
+        if self.title:
+            forms[SHOWN] = capital if raw.isalnum() else W.titlecase(raw, lang, self.profile)
+            forms[EDGE] = W.upper_first(forms[SHOWN], lang)
+        if bits & KNOWN:
+            forms[FORM] = self.forms[low]
+            bits |= OPENS * (W.lower(forms[FORM], lang) in self.openers)
+        if self.nouns:
+            bits |= ADVERB * (len(low.encode()) <= 2) | NOUN * low.endswith(GERMAN_NOUN_ENDS)
+            forms[GERMAN] = self.best[low] if bits & BEST else capital
+            forms[LIFTED] = W.upper_first(forms[GERMAN], lang)
+        return bits, forms
+
+
+@dataclass
+class Decided:
+    """A batch of texts after the decisions, an entry per token; texts lie between marks (token 0)."""
+
+    tokens: object
+    flags: object
+    marks: object  # places of the marks: text k lies between marks k and k + 1
+    out: object  # place of each token's text in the table
+    rule: object
+    start: object  # first token of the phrase or separator that a token belongs to, else its own place
+    phrases: dict[int, str]
+    boundary: object
+    sentence: object
+    first: object  # first word of its sentence
+    shouting: object
+    title_like: object
+
+
+def decide(table: Table, texts: list[list[int]]) -> Decided:
+    """The decisions for texts given as numbers of their tokens."""
+    import numpy as np
+
+    o, lang = table.options, table.lang
+    title = o.mode is CaseMode.TITLE
+    flat: list[int] = [0]
+    for ids in texts:
+        flat += ids
+        flat.append(0)
+    t = np.array(flat, np.int32)
+    f = table.flags[t]  # all tokens are in the table by now
+    n = len(t)
+    marks = np.flatnonzero(t == 0)
+    is_ = lambda bits, x=None: ((f if x is None else x) & bits) != 0
+    at = np.flatnonzero(is_(WORD))
+    near = lambda places, by: f[np.clip(places + by, 0, n - 1)] * ((places + by >= 0) & (places + by < n))
+
+    # sentence boundaries, at terminal marks only
+    ends = np.flatnonzero(is_(TERMINAL))
+    here, p1, n1 = f[ends], near(ends, -1), near(ends, 1)
+    following = np.searchsorted(at, ends)
+    word_next = np.append(at, n)[following]
+    same = word_next < marks[np.searchsorted(marks, ends)]
+    ahead = np.where(same, f[np.minimum(word_next, n - 1)], 0)
+    next_up, next_number = is_(STARTS_UP, ahead), is_(STARTS_NUM, ahead) & ~is_(STARTS_UP, ahead)
+    dot, dots = is_(DOT, here), is_(DOT, n1)
+    stop = np.select([is_(TITLE_ABBR, p1), is_(NUMERIC_ABBR, p1), is_(TRAILING_ABBR, p1)], [False, ~next_number, next_up], ~is_(SINGLE, p1))
+    bounds = np.select(
+        [is_(WIDE, here), is_(ELLIPSIS, here) | (dot & (is_(DOT, p1) | dots)), dot & is_(WORD, n1), dot & is_(WORD, p1)],
+        [True, ~dots & next_up, False, stop], True,
+    ).astype(bool)
+    boundary = np.zeros(n, bool)
+    boundary[ends[bounds]] = True
+    opens = t == 0
+    opens[1:] |= boundary[:-1]
+    sentence = np.cumsum(opens, dtype=np.int32) - 1
+    many = int(sentence[-1]) + 1
+
+    # words: what they are in their sentence
+    wf, ws = f[at], sentence[at]
+    count = lambda mask: np.bincount(ws[mask], minlength=many)
+    alpha, caps, up, small = is_(ALPHA, wf), is_(CAPS, wf), is_(UP, wf), is_(SMALL, wf)
+    n_alpha, n_caps = count(alpha), count(alpha & caps)
+    loud = (n_caps > 0) & ((n_caps == n_alpha) | ((count(alpha & (caps | small)) == n_alpha) & (count(alpha & is_(LONG, wf)) > 0)))
+    lead = np.flatnonzero(alpha)
+    rest = alpha.copy()
+    rest[lead[np.diff(ws[lead], prepend=-1) != 0]] = False
+    titled = (count(rest & ~(up | small)) == 0) & (count(rest & up) >= 2)
+    shouting, title_like = loud[ws], titled[ws]
+    first = np.diff(ws, prepend=-1) != 0
+
+    # separators
+    seps = np.flatnonzero(is_(SEPARATOR))
+    here, p1, n1 = f[seps], near(seps, -1), near(seps, 1)
+    left, right = np.where(is_(SPACE, p1), near(seps, -2), p1), np.where(is_(SPACE, n1), near(seps, 2), n1)
+    both = lambda bits: is_(bits, left) & is_(bits, right)
+    spaced, attached = is_(SPACE, p1) & is_(SPACE, n1), ~is_(HYPHEN, here) & is_(WORD, p1) & is_(WORD, n1)
+    good = both(WORD) & ~both(DIGITS) & ~both(ONE) & np.where(is_(COLON, here), is_(SPACE, n1), spaced | attached)
+    seps = seps[good]
+
+    cap = first.copy()
+    if o.capitalize_after_subtitle and o.mode is not CaseMode.SENTENCE and len(seps):
+        cap[np.searchsorted(at, seps)] = True  # a word stands after a separator
+    text_of = np.searchsorted(marks, at)
+    plain = ~shouting & ~title_like
+    segment = np.cumsum(is_(PUNCT | SYMBOL), dtype=np.int32)[at] if lang == "de" or table.phrases else None
+
+    # the cascade: later lines come first
+    form = np.full(len(at), LOW, np.int32)
+    rule = np.full(len(at), NUMBER["SmallWord" if title else "Lowercased"], np.int8)
+
+    def take(mask, which, name: str) -> None:
+        form[mask] = which[mask] if isinstance(which, np.ndarray) else which
+        rule[mask] = NUMBER[name]
+
+    edge = (np.diff(text_of, prepend=-1) != 0) | (np.diff(text_of, append=-1) != 0) if title else None
     if title:
-        shown = C.titlecase(raw, lang, p)
-        rules += [
-            (cap, one(C.upper_first(shown, lang), "SentenceStart")), (F.col("edge"), one(C.upper_first(shown, lang), "TitleEdge")),
-            (~F.col("small"), one(shown, "Capitalized")), (F.lit(True), one(low, "SmallWord")),
-        ]
+        take(~small, SHOWN, "Capitalized")
+        take(edge, EDGE, "TitleEdge")
+        take(cap, EDGE, "SentenceStart")
     else:
-        rules.append((cap, one(C.capitalize(raw, lang), "SentenceStart")))
         if lang == "en":
-            rules.append((F.translate(low, "’", "'").isin("i", "i'm", "i'll", "i've", "i'd"), one(C.capitalize(raw, lang), "AlwaysCapitalized")))
-        rules.append((F.lit(True), one(low, "Lowercased")))
-    for when, then in rules:
-        chain = chain.when(when, then)
-    rewrite = options.separators is not SeparatorStyle.PRESERVE
-    space = raw
-    if options.normalize_whitespace:
-        outside = (F.col("pos") < F.coalesce("first_mark", F.lit(1 << 30))) | (F.col("pos") > F.col("last_mark"))
-        inner = F.lit(" ") if mode.flattens_lines else F.when(raw.contains("\n"), "\n").otherwise(" ")
-        space = F.when(outside, "").otherwise(inner)
-    if rewrite:
-        space = F.when(F.col("sep_before") | F.col("sep_after"), "").otherwise(space)
-    mark = F.when(F.col("sep"), options.separators.value).otherwise(raw) if rewrite else raw
-    other = F.struct(F.when(F.col("kind") == "space", space).otherwise(mark).alias("text"), F.when((F.col("kind") == "space") & (space != raw), "WhitespaceCollapsed").when(F.col("sep") & F.lit(rewrite), "SubtitleSeparator").alias("rule"))
-    decided = t.withColumn("cap", cap).withColumn("d", F.when(F.col("kind") == "word", chain).otherwise(other))
-    return decided.select("*", "d.text", "d.rule").drop("d")
-
-
-def phrases(t: DataFrame, options: CaseOptions, lexicon: DataFrame | None) -> DataFrame:
-    """Known phrases of 4, 3 or 2 words within a segment, longest first, from left to right, written over their tokens."""
-    lang = options.language
-    words = t.filter(F.col("kind") == "word")
-    seg = Window.partitionBy("key", "seg").orderBy("pos")
-    # only white space may lie between: words of a segment that are two tokens apart each
-    nth = [F.lead(F.struct(C.lower(F.col("text"), lang).alias("w"), F.col("pos").alias("at")), k).over(seg) for k in (1, 2, 3)]
-    grams = words.select("key", "pos", "cap", F.array(F.struct(C.lower(F.col("text"), lang).alias("w"), F.col("pos").alias("at")), *nth).alias("ws"))
-    starts = grams.select("key", "pos", "cap", F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.array_join(F.transform(F.slice("ws", 1, n), lambda x: x["w"]), " ").alias("phrase"), F.col("ws")[n - 1]["at"].alias("end")) for n in (4, 3, 2)))).alias("g")).select("key", "pos", "cap", "g.*").filter("end is not null")
-    table = t.sparkSession.createDataFrame([(k, v, 1) for k, v in BUILTIN_PHRASES.items()], "phrase string, value string, prio int")
-    if lexicon is not None:
-        table = table.union(L.phrase_table(lexicon, options.locale).withColumn("prio", F.lit(0))).groupBy("phrase").agg(F.min_by("value", "prio").alias("value"))
-    found = starts.join(table.select("phrase", "value"), "phrase")
-    ordered = F.sort_array(F.collect_list(F.struct("pos", (-F.col("n")).alias("n"), "end", "value", "cap")))
-    fold = F.aggregate(
-        ordered, F.expr("struct(-1 as e, cast(array() as array<struct<pos:int,n:int,end:int,value:string,cap:boolean>>) as k)"),
-        lambda a, x: F.when(x["pos"] > a["e"], F.struct(x["end"].alias("e"), F.array_append(a["k"], x).alias("k"))).otherwise(a), lambda a: a["k"],
-    )
-    kept = found.groupBy("key").agg(fold.alias("k")).select("key", F.explode("k").alias("x"))
-    value = F.when(F.col("x.cap"), C.upper_first(F.col("x.value"), lang)).otherwise(F.col("x.value"))
-    written = kept.select("key", F.col("x.pos").alias("start"), value.alias("value"), F.explode(F.sequence("x.pos", "x.end")).alias("pos"))
-    joined = t.join(written, ["key", "pos"], "left")
-    hit = F.col("start").isNotNull()
-    return joined.withColumn("text", F.when(hit, F.when(F.col("pos") == F.col("start"), F.col("value")).otherwise("")).otherwise(F.col("text"))).withColumn("rule", F.when(hit, "MultiwordLexicon").otherwise(F.col("rule"))).drop("value")
-
-
-def decided_tokens(docs: DataFrame, options: CaseOptions, key: str, text: str, lexicon: DataFrame | None = None) -> DataFrame:
-    """The tokens of each text with what they become. Without a lexicon, known phrases are literals and need no join."""
-    t = cascade(contexts(tokenize(docs, key, text, outer=True), options), options, lexicon)
-    if not options.preserve_known_proper_nouns:
-        return t.withColumn("start", F.lit(None).cast("int"))
-    if lexicon is None and separable(BUILTIN_PHRASES):
-        return write_phrases(t, options.language)
-    return phrases(t.drop("start", "phrase"), options, lexicon)
-
-
-def spans(docs: DataFrame, options: CaseOptions = CaseOptions(), key: str = "doc_id", text: str = "text", lexicon: DataFrame | None = None) -> DataFrame:
+            take(is_(ALWAYS, wf), CAP, "AlwaysCapitalized")
+        take(cap, CAP, "SentenceStart")
+    if lang == "de" and o.german_mode >= GermanMode.BALANCED:
+        follows = np.zeros(len(at), bool)
+        follows[1:] = is_(ARTICLE, wf[:-1]) & (segment[1:] == segment[:-1]) & (text_of[1:] == text_of[:-1])
+        noun = is_(BEST, wf) | (~is_(ADVERB, wf) & (is_(NOUN, wf) | follows))
+        take(noun, np.where(cap | edge if title else cap, LIFTED, GERMAN).astype(np.int32), "GermanNoun")
+    if o.preserve_existing_capitals and not title:
+        take(up & ~cap & plain & is_(SIMPLE, wf), RAW, "ProperNounPreserved")
+    if o.preserve_mixed_case:
+        take(up & is_(MIXED, wf), RAW, "MixedCasePreserved")
+    if o.preserve_acronyms:
+        take(up & ~shouting & is_(ACRONYM, wf), RAW, "AcronymPreserved")
+    if o.preserve_known_proper_nouns:
+        sure = True if title else is_(CASED, wf) & plain
+        take(is_(KNOWN, wf) & (~is_(UNSURE, wf) | sure), FORM, "CanonicalLexicon")
+
+    out = t * FORMS
+    out[at] += form
+    rules = np.zeros(n, np.int8)
+    rules[at] = rule
+    start = np.arange(n, dtype=np.int32)
+    spaces = np.flatnonzero(is_(SPACE))
+    if o.normalize_whitespace and len(spaces):
+        outside = (t[spaces - 1] == 0) | (t[spaces + 1] == 0)
+        inner = BLANK if o.mode.flattens_lines else np.where(is_(LINE, f[spaces]), FEED, BLANK)
+        out[spaces] = np.where(outside, NOTHING, inner)
+    if o.separators is not SeparatorStyle.PRESERVE and len(seps):
+        out[seps] = REWRITTEN
+        rules[seps] = NUMBER["SubtitleSeparator"]
+        for by in (1, -1):
+            beside = seps[is_(SPACE, near(seps, by))] + by
+            out[beside] = NOTHING
+            rules[beside] = NUMBER["SubtitleSeparator"]
+            start[beside] = beside - by
+    if len(spaces):
+        to, sf = out[spaces], f[spaces]
+        changed = (rules[spaces] == 0) & np.select([to == BLANK, to == FEED], [~is_(AS_BLANK, sf), ~is_(AS_FEED, sf)], to == NOTHING)
+        rules[spaces[changed]] = NUMBER["WhitespaceCollapsed"]
+
+    phrases: dict[int, str] = {}
+    if table.phrases:
+        _phrases(table, np.flatnonzero(is_(OPENS, wf)), at, segment, text_of, cap, out, rules, start, phrases)
+    return Decided(t, f, marks, out, rules, start, phrases, boundary, sentence, (at, first), shouting, title_like)
+
+
+def _phrases(table: Table, openers, at, segment, text_of, cap, out, rules, start, phrases: dict[int, str]) -> None:
+    """Known phrases of up to 4 words within a segment, longest first, from left to right, written over their tokens."""
+    text, lang, done = table.text, table.lang, -1
+    key = lambda w: W.lower(text[out[at[w]]], lang)
+    for w in openers.tolist():
+        if w <= done:
+            continue
+        last = w
+        while last + 1 < len(at) and last - w < min(4, table.longest) - 1 and segment[last + 1] == segment[w] and text_of[last + 1] == text_of[w]:
+            last += 1
+        keys = [key(k) for k in range(w, last + 1)]
+        for size in range(len(keys), 1, -1):
+            value = table.phrases.get(" ".join(keys[:size]))
+            if value is not None:
+                a, z = int(at[w]), int(at[w + size - 1])
+                phrases[a] = W.upper_first(value, lang) if cap[w] else value
+                out[a : z + 1] = NOTHING
+                rules[a : z + 1] = NUMBER["MultiwordLexicon"]
+                start[a : z + 1] = a
+                done = w + size - 1
+                break
+
+
+def written(table: Table, d: Decided) -> list[str]:
+    """The texts after the decisions."""
+    parts = list(map(table.text.__getitem__, d.out.tolist()))
+    for place, value in d.phrases.items():
+        parts[place] = value
+    marks = d.marks.tolist()
+    return ["".join(parts[a + 1 : z]) for a, z in zip(marks, marks[1:], strict=False)]
+
+
+def ranks(d: Decided):
+    """The greatest rank of a rule in each text."""
+    import numpy as np
+
+    return np.maximum.reduceat(np.array(RANKS, np.int8)[d.rule], d.marks[:-1]) if len(d.marks) > 1 else np.zeros(0, np.int8)
+
+
+def span_arrays(table: Table, d: Decided) -> dict:
+    """Spans of a batch, an array a column; ``text`` says which text a span is of. In order of place."""
+    import numpy as np
+
+    raw, shown = table.sizes[d.tokens * FORMS].astype(np.int64), table.sizes[d.out].astype(np.int64)
+    for place, value in d.phrases.items():
+        shown[place] = len(value.encode())
+    src, out = np.cumsum(raw), np.cumsum(shown)
+    of = np.searchsorted(d.marks, np.arange(len(raw)))
+    base = np.append(0, d.marks[:-1]) if len(d.marks) else d.marks
+    src, out = src - src[base][of], out - out[base][of]
+    some = np.flatnonzero(d.rule)
+    order = some[np.lexsort((some, d.start[some]))]
+    heads = np.flatnonzero(np.diff(d.start[order], prepend=-1) != 0)
+    group = lambda op, x: op.reduceat(x[order], heads) if len(heads) else x[:0]
+    text = table.text
+    a = list(map(text.__getitem__, (d.tokens[order] * FORMS).tolist()))
+    b = list(map(text.__getitem__, d.out[order].tolist()))
+    for k in np.flatnonzero(np.isin(order, list(d.phrases))) if d.phrases else ():
+        b[k] = d.phrases[int(order[k])]
+    cuts = [*heads.tolist(), len(order)]
+    changed = np.fromiter((a[x] != b[x] if z - x == 1 else "".join(a[x:z]) != "".join(b[x:z]) for x, z in zip(cuts, cuts[1:], strict=False)), bool, len(heads))
+    rule = group(np.maximum, d.rule)
+    shown_ = (rule != NUMBER["SubtitleSeparator"]) | changed
+    made = {
+        "text": of[order[heads]] - 1, "src_start": group(np.minimum, src - raw), "src_end": group(np.maximum, src), "out_start": group(np.minimum, out - shown),
+        "out_end": group(np.maximum, out), "rule": rule, "changed": changed,
+    }
+    return {k: v[shown_] for k, v in made.items()}
+
+
+def dictionary(lexicon: DataFrame, locale: str, best: bool) -> Dictionary | None:
+    """The lexicon for one locale, collected if it is of a size that every worker can hold; else None."""
+    tables = [L.canonical(lexicon, locale).toDF("k", "v"), L.phrase_table(lexicon, locale).toDF("k", "v")]
+    tables.append(L.best_candidates(lexicon, "de").toDF("k", "v") if best else tables[0].limit(0))
+    both = None
+    for n, x in enumerate(tables):
+        both = x.withColumn("n", F.lit(n)) if both is None else both.union(x.withColumn("n", F.lit(n)))
+    size = both.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("k") + F.length("v")).alias("chars")).first()
+    if size["n"] > SENT_ROWS or (size["chars"] or 0) > SENT_CHARS:
+        return None
+    made: list[dict[str, str]] = [{}, {}, {}]
+    for r in both.collect():
+        made[r["n"]][r["k"]] = r["v"]
+    return Dictionary(*made)
+
+
+def met_words(docs: DataFrame, text: str, language: str) -> DataFrame:
+    """``(key)``: the different lower-case words of the texts, cut down within each batch before they are shuffled."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import regex
+
+        find, word = token_finder(), regex.compile(r"^[\p{Alphabetic}\p{N}]").search
+        for batch in batches:
+            seen: set[str] = set()
+            for x in batch.column(0):
+                seen.update(find(x.as_py() or ""))
+            yield pa.RecordBatch.from_arrays([pa.array({W.lower(x, language) for x in seen if word(x)}, pa.string())], ["key"])
+
+    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "key string").distinct()
+
+
+def few_splits(docs: DataFrame) -> DataFrame:
+    """``docs``; rows of an input of fewer splits than there are cores are dealt out. Large inputs stay where they are."""
+    plan = docs._jdf.queryExecution()
+    if docs.isStreaming or plan.executedPlan().nodeName() == "AdaptiveSparkPlan":  # counting would run its shuffles
+        return docs
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if plan.toRdd().getNumPartitions() < cores else docs
+
+
+def _each(docs: DataFrame, text: str, language: str | None, options: CaseOptions, lexicon: Dictionary, schema: str, make: Callable) -> DataFrame:
+    """``make(batch, rows, table, decided)`` for the texts of each language in each batch: ``rows`` are their places in it."""
+    sent = docs.sparkSession.sparkContext.broadcast((options, lexicon))
+
+    def run(batches: Iterator) -> Iterator:
+        options, lexicon = sent.value
+        find, tables = token_finder(), {}
+
+        def table_of(lang: str | None) -> Table:
+            lang = options.locale if lang is None else lang
+            table = tables.get(lang)
+            if table is None or len(table) > REMEMBERED:
+                table = tables[lang] = Table(replace(options, locale=lang), lexicon)
+            return table
+
+        for batch in batches:
+            texts = batch.column(text)
+            langs = batch.column(language).to_pylist() if language else [None] * len(texts)
+            places: dict[str | None, list[int]] = {}
+            for k, x in enumerate(langs):
+                places.setdefault(x, []).append(k)
+            for lang, rows in places.items():
+                held, size, first = [], 0, 0
+                table = table_of(lang)
+                for n, k in enumerate(rows, 1):
+                    x = texts[k].as_py() or ""
+                    held.append(list(map(table.__getitem__, find(x))))
+                    size += len(x)
+                    if size >= AT_ONCE or n == len(rows):
+                        yield make(batch, rows[first:n], table, decide(table, held))
+                        held, size, first = [], 0, n
+                        table = table_of(lang)
+
+    return few_splits(docs).mapInArrow(run, schema)
+
+
+def _plain(docs: DataFrame, key: str, text: str, language: Column | None) -> DataFrame:
+    shown = [F.col(key).alias("key"), F.col(text).cast("string").alias("text")]
+    return docs.select(*shown, *([language.alias("language")] if language is not None else []))
+
+
+def _key_type(docs: DataFrame) -> str:
+    return docs.schema["key"].dataType.simpleString()
+
+
+def _sendable(docs: DataFrame, text: str, options: CaseOptions, lexicon: DataFrame | None) -> Dictionary | None:
+    """What workers need of the lexicon; None if that is too much to send."""
+    if lexicon is None:
+        return NO_WORDS
+    best = options.language == "de" and options.german_mode is GermanMode.AGGRESSIVE
+    found = dictionary(lexicon, options.locale, best)
+    if found is None:  # entries of words that occur; phrases are kept by their first word
+        words = met_words(docs, text, options.language)
+        found = dictionary(lexicon.join(words.withColumnRenamed("key", "met"), F.split("key", " ")[0] == F.col("met"), "left_semi"), options.locale, best)
+    return found
+
+
+def _numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Texts under keys of their own, which hold the given ones, so that repeated and null keys stay apart."""
+    return docs.select(F.struct(F.monotonically_increasing_id().alias("n"), F.col(key).alias("key")).alias("key"), F.col(text).alias("text"))
+
+
+def recase(docs: DataFrame, options: CaseOptions = CaseOptions(), key: str = "doc_id", text: str = "text", lexicon: DataFrame | None = None, language: Column | None = None) -> DataFrame:
+    """``(key, output, confidence, n_words)``: one row per row of ``docs``, whatever its key.
+
+    Null and empty texts give an empty output and are Solid; null and repeated keys are kept; an empty table
+    gives an empty result; other columns are not read. ``language``, a column, takes the place of the options'
+    locale row by row (null: that locale).
+    """
+    words = _sendable(docs, text, options, lexicon)
+    if words is None:
+        found = relational.recase(_numbered(docs, key, text), options, "key", "text", lexicon)
+        return found.withColumn("key", F.col("key.key"))
+    plain = _plain(docs, key, text, language)
+
+    def make(batch, rows, table, d):
+        import pyarrow as pa
+
+        shown = pa.DictionaryArray.from_arrays(pa.array(ranks(d)), relational.CONFIDENCE).cast(pa.string())
+        n_words = _sums(d, d.first[0])
+        return pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(rows)), pa.array(written(table, d), pa.string()), shown, pa.array(n_words)], ["key", "output", "confidence", "n_words"])
+
+    return _each(plain, "text", "language" if language is not None else None, options, words, f"key {_key_type(plain)}, output string, confidence string, n_words long", make)
+
+
+def _sums(d: Decided, places):
+    """How many of the ``places`` each text has."""
+    import numpy as np
+
+    return np.bincount(np.searchsorted(d.marks, places) - 1, minlength=len(d.marks) - 1).astype(np.int64)
+
+
+_SPAN = "src_start long, src_end long, out_start long, out_end long, rule string, confidence string, changed boolean"
+
+
+def _span_columns(s: dict) -> list:
+    import numpy as np
+    import pyarrow as pa
+
+    named = lambda codes, names: pa.DictionaryArray.from_arrays(pa.array(codes.astype(np.int8)), names).cast(pa.string())
+    levels = np.array(RANKS, np.int8)[s["rule"]]
+    return [*(pa.array(s[c]) for c in ("src_start", "src_end", "out_start", "out_end")), named(s["rule"], RULES), named(levels, relational.CONFIDENCE), pa.array(s["changed"])]
+
+
+def spans(docs: DataFrame, options: CaseOptions = CaseOptions(), key: str = "doc_id", text: str = "text", lexicon: DataFrame | None = None, language: Column | None = None) -> DataFrame:
     """``(key, src_start, src_end, out_start, out_end, rule, confidence, changed)``: UTF-8 byte ranges of every decision.
 
     Words always have a span; a phrase and a rewritten separator with the spaces around it are one;
-    white space has one only where it changed.
+    white space has one only where it changed. Null and empty texts have none; rows of equal or null
+    keys have their spans under that key; an empty table gives an empty result.
     """
-    t = decided_tokens(docs, options, key, text, lexicon).filter(F.col("pos").isNotNull())
-    run = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumns({"src_end": F.sum(F.octet_length("raw")).over(run), "out_end": F.sum(F.octet_length("text")).over(run)})
-    rewrite = options.separators is not SeparatorStyle.PRESERVE
-    group = F.coalesce("start", F.col("pos"))
-    if rewrite:
-        space = F.col("kind") == "space"
-        group = F.when(space & F.col("sep_after"), F.col("pos") + 1).when(space & F.col("sep_before"), F.col("pos") - 1).otherwise(group)
-        t = t.withColumn("rule", F.when(space & (F.col("sep_after") | F.col("sep_before")), "SubtitleSeparator").otherwise(F.col("rule")))
-    part = F.struct("pos", "raw", "text")
-    joined = lambda f: F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda x: x[f]), "")
-    merged = t.filter("rule is not null").groupBy("key", group.alias("g")).agg(
-        F.min(F.col("src_end") - F.octet_length("raw")).alias("src_start"), F.max("src_end").alias("src_end"),
-        F.min(F.col("out_end") - F.octet_length("text")).alias("out_start"), F.max("out_end").alias("out_end"),
-        F.max("rule").alias("rule"), (joined("raw") != joined("text")).alias("changed"),
-    )
-    rank = F.coalesce(F.create_map(*(F.lit(x) for kv in RANK.items() for x in kv))[F.col("rule")], F.lit(0))
-    shown = merged.filter((F.col("rule") != "SubtitleSeparator") | F.col("changed"))
-    return shown.select("key", "src_start", "src_end", "out_start", "out_end", "rule", F.element_at(F.array(*map(F.lit, CONFIDENCE)), rank + 1).alias("confidence"), "changed")
-
-
-def recase(docs: DataFrame, options: CaseOptions = CaseOptions(), key: str = "doc_id", text: str = "text", lexicon: DataFrame | None = None) -> DataFrame:
-    """``(key, output, confidence, n_words)``: one row per distinct key, which must not repeat.
-
-    Null and empty texts give an empty output and are Solid.
-    """
-    t = decided_tokens(docs, options, key, text, lexicon)
-    rank = F.coalesce(F.create_map(*(F.lit(x) for kv in RANK.items() for x in kv))[F.col("rule")], F.lit(0))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: F.coalesce(x["text"], F.lit("")))
-    out = t.groupBy("key").agg(F.array_join(ordered, "").alias("output"), F.max(rank).alias("r"), F.count_if(F.col("kind") == "word").alias("n_words"))
-    return out.select("key", "output", F.element_at(F.array(*map(F.lit, CONFIDENCE)), F.col("r") + 1).alias("confidence"), "n_words")
+    words = _sendable(docs, text, options, lexicon)
+    if words is None:
+        return relational.spans(_numbered(docs, key, text), options, "key", "text", lexicon).withColumn("key", F.col("key.key"))
+    plain = _plain(docs, key, text, language)
+
+    def make(batch, rows, table, d):
+        import numpy as np
+        import pyarrow as pa
+
+        s = span_arrays(table, d)
+        keys = batch.column("key").take(pa.array(np.array(rows, np.int64)[s["text"]]))
+        return pa.RecordBatch.from_arrays([keys, *_span_columns(s)], ["key", *(x.split(" ")[0] for x in _SPAN.split(", "))])
+
+    return _each(plain, "text", "language" if language is not None else None, options, words, f"key {_key_type(plain)}, {_SPAN}", make)
+
+
+def analyze(docs: DataFrame, options: CaseOptions = CaseOptions(), key: str = "doc_id", text: str = "text", lexicon: DataFrame | None = None, language: Column | None = None) -> DataFrame:
+    """``(key, output, confidence, spans)``: the text with all its decisions, in order, in one row; as :func:`recase` and :func:`spans`."""
+    words = _sendable(docs, text, options, lexicon)
+    names = [x.split(" ")[0] for x in _SPAN.split(", ")]
+    if words is None:
+        numbered = _numbered(docs, key, text)
+        told = relational.spans(numbered, options, "key", "text", lexicon).groupBy("key").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("spans"))
+        met = relational.recase(numbered, options, "key", "text", lexicon).join(told, "key", "left")
+        nothing = F.expr(f"cast(array() as array<struct<{_SPAN.replace(' ', ':').replace(',:', ',')}>>)")
+        return met.select("key.key", "output", "confidence", F.coalesce("spans", nothing).alias("spans"))
+    plain = _plain(docs, key, text, language)
+
+    def make(batch, rows, table, d):
+        import numpy as np
+        import pyarrow as pa
+
+        s = span_arrays(table, d)
+        ends = np.append(0, np.cumsum(np.bincount(s["text"], minlength=len(rows)))).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(_span_columns(s), names))
+        shown = pa.DictionaryArray.from_arrays(pa.array(ranks(d)), relational.CONFIDENCE).cast(pa.string())
+        return pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(rows)), pa.array(written(table, d), pa.string()), shown, lists], ["key", "output", "confidence", "spans"])
+
+    kinds = _SPAN.replace(" ", ":").replace(",:", ",")
+    return _each(plain, "text", "language" if language is not None else None, options, words, f"key {_key_type(plain)}, output string, confidence string, spans array<struct<{kinds}>>", make)
+
+
+_FACTS = ("n_tokens", "n_word", "n_space", "n_punct", "n_symbol", "n_bytes", "sum_end", "n_boundary", "n_starts", "last_sentence", "n_shouting", "n_title_like")
+
+
+def facts(docs: DataFrame, options: CaseOptions = CaseOptions(), key: str = "doc_id", text: str = "text", language: Column | None = None) -> DataFrame:
+    """``(key, ...)``: counts of a text's tokens by kind, its bytes and the sum of the tokens' end offsets, sentence
+    boundaries, sentence starts, the number of the last token's sentence, and starts of shouted and title-like sentences.
+    One row per row; null and empty texts have zeros and a null ``last_sentence``."""
+    plain = _plain(docs, key, text, language)
+
+    def make(batch, rows, table, d):
+        import numpy as np
+        import pyarrow as pa
+
+        raw = table.sizes[d.tokens * FORMS].astype(np.int64)
+        end = np.cumsum(raw)
+        marks, of = d.marks, np.searchsorted(d.marks, np.arange(len(raw))) - 1
+        base = end[marks[:-1]]
+        inside = d.tokens != 0
+        sums = np.bincount(of[inside], minlength=len(rows)) if inside.any() else np.zeros(len(rows), np.int64)
+        ends = np.add.reduceat(np.where(inside, end, 0), marks[:-1]) - sums * base
+        at, first = d.first
+        starts = at[first]
+        last = np.where(sums > 0, d.sentence[marks[1:] - 1] - d.sentence[marks[:-1]], 0)
+        kinds = [_sums(d, np.flatnonzero(d.flags & k)) for k in (WORD, SPACE, PUNCT, SYMBOL)]
+        columns = [sums, *kinds, end[marks[1:]] - base, ends, _sums(d, np.flatnonzero(d.boundary)), _sums(d, starts)]
+        last_sentence = pa.array(last.astype(np.int64), mask=sums == 0)
+        loud = [_sums(d, at[first & x]) for x in (d.shouting, d.title_like)]
+        made = [*(pa.array(c.astype(np.int64)) for c in columns), last_sentence, *(pa.array(c) for c in loud)]
+        return pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(rows)), *made], ["key", *_FACTS])
+
+    return _each(plain, "text", "language" if language is not None else None, options, NO_WORDS, f"key {_key_type(plain)}, " + ", ".join(f"{c} long" for c in _FACTS), make)
 
 
 def sentence_case(docs: DataFrame, locale: str, **names) -> DataFrame:
@@ -287,3 +639,7 @@ def sentence_case(docs: DataFrame, locale: str, **names) -> DataFrame:
 
 def sentence_case_title(docs: DataFrame, locale: str, **names) -> DataFrame:
     return recase(docs, CaseOptions(locale=locale, mode=CaseMode.SENTENCE_TITLE), **names)
+
+
+def sentence_case_analyze(docs: DataFrame, locale: str, **names) -> DataFrame:
+    return analyze(docs, CaseOptions(locale=locale), **names)

@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import casing as C
 from ..functions.profiles import PROFILES
+from ..operators import lexicon as L
 from ..operators import prepare as P
 from ..operators import recase as R
-from ..operators.tokens import reconstruct, tokenize
+from ..operators.tokens import tokenize, tokens_of
 from ..options import CaseMode, CaseOptions, GermanMode, SeparatorStyle
 from ..sources import registry, samples
 from . import oracle as O
@@ -35,44 +36,42 @@ def _named(df: DataFrame) -> DataFrame:
     return df.withColumnRenamed("key", "doc_id")
 
 
-def by_language(docs: DataFrame, of: Callable[[DataFrame, CaseOptions], DataFrame]) -> DataFrame:
-    """Union of ``of`` over the documents of each language there is; null and other languages have the neutral profile."""
-    language = F.lower(F.split(F.translate("lang", "_", "-"), "-")[0])
-    language = F.when(language.isin(*PROFILES), language).otherwise(NEUTRAL)
-    out = None
-    for x in sorted(r[0] for r in docs.select(language).distinct().collect()) or [NEUTRAL]:
-        part = of(docs.filter(language == x), CaseOptions(locale=x))
-        out = part if out is None else out.union(part)
-    return out
+def language() -> Column:
+    """The language of a row's ``lang`` if there is a profile for it; null and other languages have the neutral one."""
+    primary = F.lower(F.split(F.translate("lang", "_", "-"), "-")[0])
+    return F.when(primary.isin(*PROFILES), primary).otherwise(NEUTRAL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence case of every document under the rules of its language."""
-    return _named(by_language(_docs(spark, sf_dir), R.recase))
+    return _named(R.recase(_docs(spark, sf_dir), CaseOptions(locale=NEUTRAL), language=language()))
 
 
-def recased(spark: SparkSession, sf_dir: str, options: CaseOptions, upper: str = "") -> DataFrame:
+def recased(spark: SparkSession, sf_dir: str, options: CaseOptions, change: Callable[[Column], Column] = lambda x: x) -> DataFrame:
+    """Documents of one language, their texts changed first."""
     docs = _docs(spark, sf_dir, options.language)
-    if upper:
-        docs = docs.withColumn("text", getattr(F, upper)("text"))
-    return _named(R.recase(docs, options))
+    return _named(R.recase(docs.withColumn("text", change(F.col("text"))), options))
+
+
+def confidence_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("lang", "text")
+    return R.recase(docs, CaseOptions(locale=NEUTRAL), key="lang", language=language()).groupBy(F.col("key").alias("lang"), "confidence").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("n_words"))
 
 
 def token_counts_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenize(_docs(spark, sf_dir), "doc_id", "text").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    kinds = ("word", "space", "punct", "symbol")
+    sums = R.facts(_docs(spark, sf_dir)).agg(*(F.sum(f"n_{k}").alias(k) for k in kinds))
+    return sums.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in kinds))).alias("x")).select("x.*").filter("n > 0")
 
 
 def token_offsets_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tokenize(_docs(spark, sf_dir), "doc_id", "text")
-    end = F.sum(F.octet_length("raw")).over(Window.partitionBy("key").orderBy("pos"))
-    t = t.withColumn("src_end", end)
-    return _named(t.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("src_end").alias("sum_end"), F.max("src_end").alias("n_bytes")))
+    return _named(R.facts(_docs(spark, sf_dir)).filter("n_tokens > 0").select("key", F.col("n_tokens").alias("n"), "sum_end", "n_bytes"))
 
 
 def reconstruct_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    back = reconstruct(tokenize(docs, "doc_id", "text"), "raw")
-    return docs.join(back, docs["doc_id"] == back["key"]).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("text") == F.col("output")).alias("n_same"))
+    """Documents, empty and null ones too, whose tokens joined give their text."""
+    same = F.array_join(tokens_of(F.col("text")), "").eqNullSafe(F.col("text"))
+    return _docs(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.count_if(same).alias("n_same"), F.sum(F.size(tokens_of(F.coalesce("text", F.lit(""))))).alias("n_tokens"))
 
 
 def words_of_class(spark: SparkSession, sf_dir: str, of) -> DataFrame:
@@ -80,9 +79,8 @@ def words_of_class(spark: SparkSession, sf_dir: str, of) -> DataFrame:
 
 
 def sentence_counts(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
-    t = R.contexts(tokenize(_docs(spark, sf_dir, lang), "doc_id", "text"), CaseOptions(locale=lang))
-    n = lambda c: F.count_if(F.col(c)).alias(f"n_{c}")
-    return _named(t.groupBy("key").agg(n("boundary"), n("starts"), F.max("sent").cast("long").alias("last_sentence"), F.count_if(F.col("shouting") & F.col("starts")).alias("n_shouting"), F.count_if(F.col("title_like") & F.col("starts")).alias("n_title_like")))
+    told = R.facts(_docs(spark, sf_dir, lang), CaseOptions(locale=lang)).filter("n_tokens > 0")
+    return _named(told.select("key", "n_boundary", "n_starts", "last_sentence", "n_shouting", "n_title_like"))
 
 
 def _rules(s: DataFrame) -> DataFrame:
@@ -97,13 +95,98 @@ def rule_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rule_histogram_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules of every document under the rules of its language."""
-    return _rules(by_language(_docs(spark, sf_dir), R.spans))
+    return _rules(R.spans(_docs(spark, sf_dir), CaseOptions(locale=NEUTRAL), language=language()))
+
+
+def _placed(s: DataFrame) -> DataFrame:
+    """Spans by document and rule, with sums that tell any of them apart that moves."""
+    n = lambda c: F.sum(c).alias(f"sum_{c}")
+    told = s.groupBy(F.col("key").alias("doc_id"), "rule", "confidence").agg(F.count(F.lit(1)).alias("n"), F.count_if("changed").alias("n_changed"), *(n(c) for c in ("src_start", "src_end", "out_start", "out_end")))
+    return told
+
+
+#: What is put behind each text, so that phrases, separators and runs of white space occur.
+ADDED = " -  new york \n and Van der   Waals: san francisco; it 's the NEW york—end  "
+
+
+def spans_changed(spark: SparkSession, sf_dir: str, options: CaseOptions) -> DataFrame:
+    docs = _docs(spark, sf_dir, options.language).select("doc_id", F.concat("text", F.lit(ADDED)).alias("text"))
+    return _placed(R.spans(docs, options))
+
+
+def analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text, confidence and spans of the English documents in one row each, the spans counted."""
+    docs = _docs(spark, sf_dir, "en").select("doc_id", F.concat("text", F.lit(ADDED)).alias("text"))
+    a = R.sentence_case_analyze(docs, "en")
+    changed = F.filter("spans", lambda x: x["changed"])
+    ends = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["out_end"])
+    return _named(a.select("key", "output", "confidence", F.size("spans").cast("long").alias("n_spans"), F.size(changed).cast("long").alias("n_changed"), ends.alias("sum_out_end")))
 
 
 def checksum_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
+def _entries(words: DataFrame, kind: str, locale: str, where: str, value: str, score: str = "NULL", number: int = 0) -> DataFrame:
+    return words.filter(where).selectExpr(f"'{kind}' AS kind", f"'{locale}' AS locale", "key", f"{value} AS value", f"CAST({score} AS float) AS score", f"{number} AS ord")
+
+
+def _met(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
+    return R.met_words(_docs(spark, sf_dir, lang), "text", lang)
+
+
+def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries for English words of the documents: canonical, protected before canonical, a locale before its language."""
+    words = _met(spark, sf_dir, "en")
+    parts = [
+        _entries(words, "canonical-map", "en", "key RLIKE '^[a-m][a-z]{6}$'", "upper(key)"), _entries(words, "protected-forms", "en", "key RLIKE '^[a-d][a-z]{6}$'", "concat(upper(left(key, 2)), substr(key, 3))"),
+        _entries(words, "canonical-map", "en-GB", "key RLIKE '^[c-e][a-z]{6}$'", "concat(key, 'X')"), _entries(words, "canonical-map", "de", "key RLIKE '^[a-z]{5}$'", "upper(key)"),
+    ]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+def canonical_lookup(spark: SparkSession, sf_dir: str, locale: str) -> DataFrame:
+    """English documents under a lexicon."""
+    return _named(R.recase(_docs(spark, sf_dir, "en"), CaseOptions(locale=locale), lexicon=_lexicon(spark, sf_dir)))
+
+
+def phrase_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of two words, the first of a to m and the second of n to z; a canonical-map key of two words is no phrase."""
+    words = _met(spark, sf_dir, "en")
+    firsts, seconds = (words.filter(F.col("key").rlike(p)).agg(F.min("key").alias(f"{n}0"), F.max("key").alias(f"{n}1")) for n, p in (("a", "^[a-m][a-z]{2,4}$"), ("b", "^[n-z][a-z]{1,3}$")))
+    ends = firsts.join(seconds).selectExpr("explode(array(concat(a0, ' ', b0), concat(a1, ' ', b1), 'and so', 'in the', 'it was', 'big red')) AS key")
+    lexicon = _entries(ends, "multiword-map", "en", "key <> 'big red'", "concat(upper(key), '!')").union(_entries(ends, "canonical-map", "en", "key = 'big red'", "'dead key'"))
+    docs = _docs(spark, sf_dir, "en").select("doc_id", F.concat("text", F.lit(" The and  so in the big red it was, and; so")).alias("text"))
+    return _named(R.recase(docs, CaseOptions(), lexicon=lexicon))
+
+
+def german_aggressive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """German documents in lower case under ranked candidates; those below the least score aren't taken."""
+    words = _met(spark, sf_dir, "de")
+    short = "key RLIKE '^[a-z]{5}$'"
+    lexicon = _entries(words, "ranked-candidates", "de", short, "upper(key)", "1.5").union(_entries(words, "ranked-candidates", "de", short, "concat(key, 'a')", "1 + length(key) % 3", 1))
+    lexicon = lexicon.union(_entries(words, "ranked-candidates", "de", "key RLIKE '^[a-z]{6}$'", "upper(key)", "0.5"))
+    docs = _docs(spark, sf_dir, "de").withColumn("text", F.lower("text"))
+    return _named(R.recase(docs, CaseOptions(locale="de", german_mode=GermanMode.AGGRESSIVE), lexicon=lexicon))
+
+
+def word_set(spark: SparkSession, sf_dir: str, missing: bool) -> DataFrame:
+    """Words of the part names that a set of words has, or lacks."""
+    part = table(spark, sf_dir, "part")
+    names = part.select(F.explode(F.split(F.lower("p_name"), " ")).alias("word"))
+    listed = P.build(part.filter("p_size % 2 = 0").select(F.col("p_partkey").alias("rec_idx"), F.split("p_name", " ")[0].alias("canonical"), F.array().cast("array<string>").alias("aliases"), F.lit(1.0).alias("score")), "word-set")
+    lexicon = listed.select(F.lit("word-set").alias("kind"), F.lit("en").alias("locale"), "key", "value", "score", "ord")
+    return L.contains_word(names, lexicon, "en", missing=missing).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def plugin_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two lexicons of the part names; the later one wins, lists of candidates as a whole."""
+    names = table(spark, sf_dir, "part").select(F.lower("p_name").alias("key"), "p_size").groupBy("key").agg(F.max("p_size").alias("p_size"))
+    first = _entries(names, "canonical-map", "en", "true", "upper(key)").union(_entries(names, "ranked-candidates", "en", "true", "key", "2.0")).union(_entries(names, "ranked-candidates", "en", "true", "upper(key)", "1.5", 1))
+    later = _entries(names, "canonical-map", "en", "p_size > 25", "initcap(key)").union(_entries(names, "ranked-candidates", "en", "p_size > 25", "initcap(key)", "1.0"))
+    return L.merge(first, later).select("kind", "locale", "key", "value", F.col("score").cast("double").alias("score"), F.col("ord").cast("long").alias("ord"))
+
+
 def sources_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.sources_df(spark)
 
@@ -112,6 +195,11 @@ def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat_ws(" - ", "p_name", F.lower("p_type")).alias("text"))
 
 
+def _spread_out(text: Column) -> Column:
+    """Text with longer white space in it and around it."""
+    return F.concat(F.lit(" \n"), F.regexp_replace(F.regexp_replace(text, "(?<=[a-f]) ", "  \t"), "(?<=[s-z]) ", " \n "), F.lit("\n\n"))
+
+
 def separators(spark: SparkSession, sf_dir: str, style: SeparatorStyle) -> DataFrame:
     return _named(R.recase(_titles(spark, sf_dir), CaseOptions(mode=CaseMode.SENTENCE_TITLE, separators=style)))
 
@@ -134,6 +222,7 @@ QUERIES = {
     f.__name__: f
     for f in (flagship, token_counts_by_kind, token_offsets_checksum, reconstruct_roundtrip, rule_histogram, rule_histogram_all, checksum_text, sources_catalog)
 }
+QUERIES |= {f.__name__: f for f in (confidence_by_lang, analyzed, phrase_replace, german_aggressive)}
 QUERIES |= {f"sentence_case_{x}": partial(recased, options=CaseOptions(locale=x)) for x in LANGS}
 QUERIES |= {f"sentence_counts_{x}": partial(sentence_counts, lang=x) for x in LANGS}
 QUERIES |= {
@@ -141,9 +230,19 @@ QUERIES |= {
     "mixed_case_words": partial(words_of_class, of=C.mixed_case),
     "simple_capitalized_words": partial(words_of_class, of=C.simple_capitalized),
     "single_letter_words": partial(words_of_class, of=C.single_letter),
-    "sentence_case_shouted": partial(recased, options=CaseOptions(), upper="upper"),
+    "sentence_case_shouted": partial(recased, options=CaseOptions(), change=F.upper),
     "title_case_en": partial(recased, options=CaseOptions(mode=CaseMode.TITLE)),
-    "german_balanced": partial(recased, options=CaseOptions(locale="de", german_mode=GermanMode.BALANCED), upper="lower"),
+    "german_balanced": partial(recased, options=CaseOptions(locale="de", german_mode=GermanMode.BALANCED), change=F.lower),
+    "sentence_title_en": partial(recased, options=CaseOptions(mode=CaseMode.SENTENCE_TITLE)),
+    "whitespace_collapse_flat": partial(recased, options=CaseOptions(mode=CaseMode.SENTENCE_TITLE), change=_spread_out),
+    "whitespace_collapse_keep_lines": partial(recased, options=CaseOptions(), change=_spread_out),
+    "spans_changed": partial(spans_changed, options=CaseOptions()),
+    "spans_changed_title": partial(spans_changed, options=CaseOptions(locale="de", mode=CaseMode.SENTENCE_TITLE, separators=SeparatorStyle.SPACE_DASH_SPACE)),
+    "canonical_lookup": partial(canonical_lookup, locale="en"),
+    "lookup_priority": partial(canonical_lookup, locale="en-GB"),
+    "word_set_semi": partial(word_set, missing=False),
+    "word_set_anti": partial(word_set, missing=True),
+    "plugin_merge_last_wins": plugin_merge,
     "separator_rewrite_colon": partial(separators, style=SeparatorStyle.COLON_SPACE),
     "separator_rewrite_dash": partial(separators, style=SeparatorStyle.SPACE_DASH_SPACE),
     "separator_rewrite_emdash": partial(separators, style=SeparatorStyle.EM_DASH_SPACE),
@@ -178,11 +277,58 @@ def _built(value: str = "max(v)", score: str = "NULL::DOUBLE", where: str = "tru
     return f"{_PAIRS} SELECT lower(v) AS key, {value} AS value, {score} AS score, 0 AS ord FROM e WHERE {where} GROUP BY lower(v)"
 
 
+_SPREAD = "SELECT doc_id AS key, chr(32) || chr(10) || regexp_replace(regexp_replace(text, '([a-f]) ', '\\1  ' || chr(9), 'g'), '([s-z]) ', '\\1 ' || chr(10) || ' ', 'g') || chr(10) || chr(10) AS text FROM documents WHERE lang = 'en'"
+_ADDED = {x: f"SELECT doc_id AS key, text || '{ADDED.replace(chr(39), chr(39) * 2).replace(chr(10), chr(39) + ' || chr(10) || ' + chr(39))}' AS text FROM documents WHERE lang = '{x}'" for x in LANGS}
+
+
+def _placed_sql(spans: str) -> str:
+    sums = ", ".join(f"sum({c})::BIGINT AS sum_{c}" for c in ("src_start", "src_end", "out_start", "out_end"))
+    return f"SELECT key AS doc_id, rule, confidence, count(*) AS n, count_if(changed) AS n_changed, {sums} FROM ({spans}) GROUP BY ALL"
+
+
+def _met_sql(lang: str) -> str:
+    return f"(SELECT DISTINCT low AS key FROM ({O.tokens(_OF[lang])} SELECT low FROM k WHERE kind = 'word'))"
+
+
+def _priority(*locales: str) -> str:
+    """Of each key the value of the first locale, protected forms before canonical ones."""
+    tables = {
+        ("en", 0): ("upper(left(key, 2)) || substr(key, 3)", "^[a-d][a-z]{6}$"), ("en", 1): ("upper(key)", "^[a-m][a-z]{6}$"), ("en-GB", 1): ("key || 'X'", "^[c-e][a-z]{6}$"),
+    }
+    rows = [f"SELECT key, {v} AS value, {2 * n + k} AS p FROM {_met_sql('en')} WHERE regexp_full_match(key, '{r.strip('^$')}')" for n, place in enumerate(locales) for k in (0, 1) if (place, k) in tables for v, r in [tables[place, k]]]
+    return f"SELECT key, arg_min(value, p) AS value FROM ({' UNION ALL '.join(rows)}) GROUP BY key"
+
+
+_ENDS = "min(key) FILTER (regexp_full_match(key, '[a-m][a-z]{2,4}')) AS a0, max(key) FILTER (regexp_full_match(key, '[a-m][a-z]{2,4}')) AS a1, min(key) FILTER (regexp_full_match(key, '[n-z][a-z]{1,3}')) AS b0, max(key) FILTER (regexp_full_match(key, '[n-z][a-z]{1,3}')) AS b1"
+_PHRASES = f"SELECT DISTINCT key, upper(key) || '!' AS value FROM (SELECT unnest([a0 || ' ' || b0, a1 || ' ' || b1, 'and so', 'in the', 'it was']) AS key FROM (SELECT {_ENDS} FROM {_met_sql('en')}))"
+#: Scores are 1 + 5 % 3 = 3 for the second candidate of all keys.
+_BEST = f"SELECT key, key || 'a' AS value FROM {_met_sql('de')} WHERE regexp_full_match(key, '[a-z]{{5}}')"
+_WORD_SET = "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS word FROM part) WHERE word {}IN (SELECT lower(string_split(p_name, ' ')[1]) FROM part WHERE p_size % 2 = 0) GROUP BY word"
+_TITLED = "array_to_string(list_transform(string_split(key, ' '), lambda x: upper(x[1]) || x[2:]), ' ')"
+_MERGED = f"""WITH n AS (SELECT lower(p_name) AS key, max(p_size) > 25 AS late FROM part GROUP BY lower(p_name))
+SELECT 'canonical-map' AS kind, 'en' AS locale, key, CASE WHEN late THEN {_TITLED} ELSE upper(key) END AS value, NULL::DOUBLE AS score, 0::BIGINT AS ord FROM n
+UNION ALL SELECT 'ranked-candidates', 'en', key, {_TITLED}, 1.0, 0 FROM n WHERE late UNION ALL SELECT 'ranked-candidates', 'en', key, key, 2.0, 0 FROM n WHERE NOT late
+UNION ALL SELECT 'ranked-candidates', 'en', key, upper(key), 1.5, 1 FROM n WHERE NOT late"""
+
 ORACLE_SQL = {
     "flagship": " UNION ALL ".join(f"({O.output(_OF[x], x)})" for x in LANGS),
     "token_counts_by_kind": O.tokens(_ALL) + " SELECT kind, count(*) AS n FROM k GROUP BY kind",
     "token_offsets_checksum": O.tokens(_ALL) + ", e AS (SELECT key, sum(strlen(raw)) OVER (PARTITION BY key ORDER BY pos) AS src_end FROM k) SELECT key AS doc_id, count(*) AS n, sum(src_end) AS sum_end, max(src_end) AS n_bytes FROM e GROUP BY key",
-    "reconstruct_roundtrip": "SELECT count(*) AS n, count(*) AS n_same FROM documents WHERE text <> ''",
+    "reconstruct_roundtrip": f"SELECT count(*) AS n, count_if(array_to_string(regexp_extract_all(text, '{O.TOKEN}'), '') IS NOT DISTINCT FROM text) AS n_same, sum(len(regexp_extract_all(coalesce(text, ''), '{O.TOKEN}')))::BIGINT AS n_tokens FROM documents",
+    "confidence_by_lang": "SELECT lang, confidence, count(*) AS n, sum(n_words)::BIGINT AS n_words FROM (" + " UNION ALL ".join(f"(SELECT lang, confidence, n_words FROM ({O.output(_OF[x], x)}) JOIN documents USING (doc_id))" for x in LANGS) + ") GROUP BY lang, confidence",
+    "sentence_title_en": O.output(_OF["en"], "en", subtitle=True),
+    "whitespace_collapse_flat": O.output(_SPREAD, "en", subtitle=True),
+    "whitespace_collapse_keep_lines": O.output(_SPREAD, "en"),
+    "spans_changed": _placed_sql(O.spans(_ADDED["en"], "en")),
+    "spans_changed_title": _placed_sql(O.spans(_ADDED["de"], "de", subtitle=True, separator=" - ")),
+    "analyzed": f"SELECT o.doc_id, o.output, o.confidence, count(*) AS n_spans, count_if(changed) AS n_changed, sum(out_end)::BIGINT AS sum_out_end FROM ({O.output(_ADDED['en'], 'en')}) o JOIN ({O.spans(_ADDED['en'], 'en')}) s ON o.doc_id = s.key GROUP BY ALL",
+    "canonical_lookup": O.output(_OF["en"], "en", lexicon=_priority("en")),
+    "lookup_priority": O.output(_OF["en"], "en", lexicon=_priority("en-GB", "en")),
+    "phrase_replace": O.output("SELECT doc_id AS key, text || ' The and  so in the big red it was, and; so' AS text FROM documents WHERE lang = 'en'", "en", phrases=_PHRASES),
+    "german_aggressive": O.output("SELECT doc_id AS key, lower(text) AS text FROM documents WHERE lang = 'de'", "de", balanced=True, best=_BEST),
+    "word_set_semi": _WORD_SET.format(""),
+    "word_set_anti": _WORD_SET.format("NOT "),
+    "plugin_merge_last_wins": _MERGED,
     "rule_histogram": O.cascade(_OF["en"], "en") + " SELECT rule, CASE WHEN rule IN ('AcronymPreserved', 'ProperNounPreserved') THEN 'Heuristic' ELSE 'Solid' END AS confidence, count(*) AS n, count(*) FILTER (raw <> text) AS n_changed, sum(strlen(text)) AS out_bytes FROM c WHERE kind = 'word' GROUP BY rule",
     "rule_histogram_all": "SELECT rule, CASE WHEN rule IN ('AcronymPreserved', 'ProperNounPreserved') THEN 'Heuristic' ELSE 'Solid' END AS confidence, count(*) AS n, count(*) FILTER (raw <> text) AS n_changed, sum(strlen(text)) AS out_bytes FROM ("
     + " UNION ALL ".join(f"({O.cascade(d, x)} SELECT rule, raw, text FROM c WHERE kind = 'word')" for x, d in _OF_ALL.items())
