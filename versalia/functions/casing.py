@@ -11,7 +11,15 @@ TURKIC = ("tr", "az")
 HYPHENS = "-‐‑"
 
 
+#: Accents above, before which Lithuanian keeps the dot of i and j.
+ABOVE = "[\u0300-\u0314\u033D-\u0344\u0346\u034A-\u034C\u0350-\u0352\u0357\u035B]"
+
+
 def lower(word: Column, language: str) -> Column:
+    if language == "lt":
+        for c, dotted in (("Ì", "i\u0307\u0300"), ("Í", "i\u0307\u0301"), ("Ĩ", "i\u0307\u0303")):
+            word = F.replace(word, F.lit(c), F.lit(dotted))
+        return F.lower(F.regexp_replace(word, f"([IJĮ])(?={ABOVE})", "$1\u0307"))
     return F.lower(F.translate(F.replace(word, F.lit("I\u0307"), F.lit("i")), "İI", "iı")) if language in TURKIC else F.lower(word)
 
 
@@ -23,6 +31,8 @@ def capitalize(word: Column, language: str) -> Column:
     """The first character in title form, the rest lower."""
     low = lower(word, language)
     first, rest = F.left(low, F.lit(1)), F.substr(low, F.lit(2))
+    if language == "lt":
+        rest = F.regexp_replace(rest, "^\u0307", "")
     if language in TURKIC:
         return F.when(first == "i", F.concat(F.lit("İ"), rest)).otherwise(F.concat(F.initcap(first), rest))
     plain = F.when(first == "ß", F.concat(F.lit("Ss"), rest)).otherwise(F.concat(F.initcap(first), rest))

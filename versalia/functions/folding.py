@@ -1,40 +1,81 @@
-"""Folded forms of names: NFC, lower case, letters and digits only, diacritics stripped or spelled out."""
+"""Folded forms of names: composed, lower case, letters and digits only, diacritics stripped or spelled out."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import unicodedata
+from functools import cache
 
-SPELLED = {"ä": "ae", "ö": "oe", "ø": "oe", "ü": "ue", "å": "aa"}
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+# What letters with diacritics become, each line a replacement and its letters; and those spelled out instead.
+STRIPPED = """
+a àáâãäåāăą
+c çćč
+d ďđð
+e èéêëēėęě
+g ğģ
+i ìíîïīįı
+k ķ
+l łļľ
+n ñńņň
+o òóôõöøōő
+r ř
+s śşšș
+t ťț
+u ùúûüūůűų
+y ýÿ
+z źżž
+ss ß
+ae æ
+oe œ
+th þ
+"""
+SPELLED = """
+ae ä
+oe öø
+ue ü
+aa å
+"""
 
-def _fold(text: str | None, spell: bool) -> str | None:
-    import unicodedata
 
-    if text is None:
-        return None
-    kept = [c for c in unicodedata.normalize("NFC", text).lower() if c.isalnum()]
-    if spell:
-        kept = [SPELLED.get(c, c) for c in kept]
-    plain = unicodedata.normalize("NFD", "".join(kept))
-    return "".join(c for c in plain if not unicodedata.combining(c)).replace("ø", "o")
+def _table(text: str) -> dict[str, str]:
+    return {c: base for base, letters in map(str.split, text.strip().split("\n")) for c in letters}
 
 
 def folded(name: Column, spell: bool) -> Column:
-    """Spark has no NFC function; texts of ASCII alone never reach the Arrow function."""
+    """The folded form of a composed name, by built-in functions. Case is lowered letter by letter: a last sigma is like any."""
+    table = _table(STRIPPED) | (_table(SPELLED) if spell else {})
+    out = F.regexp_replace(F.lower(F.translate(name, "Σ", "σ")), r"[^\p{IsAlphabetic}\p{N}]", "")
+    for c, base in table.items():
+        if len(base) > 1:
+            out = F.replace(out, F.lit(c), F.lit(base))
+    single = {c: base for c, base in table.items() if len(base) == 1}
+    return F.translate(out, "".join(single), "".join(single.values()))
+
+
+@cache
+def composable() -> str:
+    """A pattern that finds what composing may change: marks, vowels and finals of Hangul, and characters that stand for others."""
+    others = [c for c in map(chr, (*range(0x300, 0xD800), *range(0xE000, 0x30000))) if not unicodedata.combining(c) and unicodedata.normalize("NFC", c) != c]
+    return r"[\p{M}\x{1161}-\x{1175}\x{11A8}-\x{11C2}" + "".join(f"\\x{{{ord(c):X}}}" for c in others) + "]"
+
+
+def composed(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with the strings in ``columns`` in NFC. Spark has no function for it, so rows that it may change go through Python; no others do."""
 
     @F.pandas_udf("string")
-    def run(s):
-        return s.map(lambda x: _fold(x, spell))
+    def nfc(s):
+        return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
 
     import pandas as pd
 
-    run.func.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    ascii_only = ~name.rlike(r"[^\x00-\x7F]")
-    return F.when(ascii_only, F.regexp_replace(F.lower(name), "[^a-z0-9]", "")).otherwise(run(name))
+    nfc.func.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    odd = F.greatest(*(F.coalesce(F.col(c).rlike(composable()), F.lit(False)) for c in (columns[0], *columns)))
+    return df.filter(~odd).unionByName(df.filter(odd).withColumns({c: nfc(c) for c in columns}))
 
 
 def same_spelling(a: Column, b: Column) -> Column:
-    """Equal when diacritics are stripped or spelled out on either side."""
+    """Whether composed names are equal when diacritics are stripped or spelled out on either side."""
     left, right = [folded(a, s) for s in (False, True)], [folded(b, s) for s in (False, True)]
     return F.greatest(*(x == y for x in left for y in right))

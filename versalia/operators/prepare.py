@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.folding import same_spelling
+from ..functions.folding import composed, same_spelling
 
 KINDS = ("canonical-map", "protected-forms", "multiword-map", "word-set", "ranked-candidates")
 
@@ -14,8 +14,10 @@ def lookup_entries(records: DataFrame) -> DataFrame:
     """``(rec_idx, score, key, value)``: the canonical form; aliases that are spelling variants lead to it,
     others to themselves if they carry case of their own, else nowhere."""
     one = records.select("rec_idx", "score", F.lower("canonical").alias("key"), F.col("canonical").alias("value"))
-    alias = records.select("rec_idx", "score", "canonical", F.explode("aliases").alias("alias"))
-    variant = same_spelling(F.col("alias"), F.col("canonical"))
+    alias = records.select("rec_idx", "score", "canonical", F.explode("aliases").alias("alias")).filter("alias is not null and canonical is not null")
+    both = composed(alias.select("*", F.col("canonical").alias("c"), F.col("alias").alias("a")), "c", "a")
+    alias = both.withColumn("variant", same_spelling(F.col("a"), F.col("c"))).drop("c", "a")
+    variant = F.col("variant")
     kept = alias.withColumn("value", F.when(variant, F.col("canonical")).when(F.lower("alias") != F.col("alias"), F.col("alias"))).filter("value is not null")
     return one.union(kept.select("rec_idx", "score", F.lower("alias").alias("key"), "value")).distinct()
 
@@ -26,7 +28,12 @@ def _last(entries: DataFrame) -> DataFrame:
 
 
 def build(records: DataFrame, kind: str) -> DataFrame:
-    """``(key, value, score, ord)`` of a lexicon kind."""
+    """``(key, value, score, ord)`` of a lexicon kind, from ``records(rec_idx, canonical, aliases, score)``.
+
+    The record of the greatest ``rec_idx`` (any type that has an order) wins a key. Null canonical forms and aliases
+    give nothing, repeated records count once, an empty table gives an empty lexicon; other columns are not read.
+    """
+    records = records.filter("canonical is not null")
     none = [F.lit(None).cast("float").alias("score"), F.lit(0).alias("ord")]
     if kind == "canonical-map":
         return _last(lookup_entries(records)).select("key", "value", *none)
@@ -36,7 +43,7 @@ def build(records: DataFrame, kind: str) -> DataFrame:
         cased = records.filter(F.col("canonical").rlike(r"\p{IsLowercase}") & F.col("canonical").rlike(r"\p{IsUppercase}"))
         return _last(cased.select("rec_idx", F.lower("canonical").alias("key"), F.col("canonical").alias("value"))).select("key", "value", *none)
     if kind == "word-set":
-        words = records.select(F.explode(F.concat(F.array("canonical"), "aliases")).alias("w")).select(F.lower("w").alias("key")).distinct()
+        words = records.select(F.explode(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("w")).filter("w is not null").select(F.lower("w").alias("key")).distinct()
         return words.select("key", F.lit(None).cast("string").alias("value"), *none)
     if kind == "ranked-candidates":
         by = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("value").alias("v"))))
