@@ -1,11 +1,17 @@
 import gzip
 import io
 import json
+import random
+import unicodedata
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from versalia import cli
+from versalia.functions import folding
+from versalia.operators import prepare
+from versalia.plans import plugins
 from versalia.sources import fetch, files, samples
 from versalia.sources.registry import SOURCES, LexiconError
 
@@ -46,7 +52,7 @@ def test_samples_fetch_and_parse(spark, tmp_path, name):
 def test_archive_members(spark, tmp_path):
     geo = "\n".join(samples.LINES["geonames"])
     (tmp_path / "g.zip").write_bytes(_zip(readme__txt="no table", DE__txt="\n" + geo + "\n"))
-    assert len(_rows(files.records(spark, "geonames", (tmp_path / "g.zip").as_uri()))) == 2
+    assert len(_rows(files.records(spark, "geonames", (tmp_path / "g.zip").as_uri()))) == 4
     (tmp_path / "r.zip").write_bytes(_zip(v1__json="[]", v1_schema_v2__json=samples.DOCUMENTS["ror"]))
     assert len(_rows(files.records(spark, "ror", (tmp_path / "r.zip").as_uri()))) == 2
     (tmp_path / "l.bin").write_bytes(gzip.compress(samples.DOCUMENTS["gleif"].encode()))
@@ -79,7 +85,7 @@ def test_downloads_merge_and_clean_up(spark, tmp_path):
     plan = fetch.built_in("ud-german-gsd")
     pages = {u: "\n".join(samples.LINES["ud-german-gsd"]).rstrip("\n").encode() for u in plan.urls}
     path = fetch.fetch(spark, "ud-german-gsd", tmp_path / "a", tuple(cli.ACKNOWLEDGEMENTS), _opener(pages))
-    assert len(_rows(files.records(spark, "ud-german-gsd", path.as_uri()))) == 6
+    assert len(_rows(files.records(spark, "ud-german-gsd", path.as_uri()))) == 9
     plan = fetch.built_in("cldr", lang="de")
     docs = {u: samples.DOCUMENTS["cldr"].encode() for u in plan.urls}
     path = fetch.fetch(spark, "cldr", tmp_path / "b", (), _opener(docs), lang="de")
@@ -112,3 +118,83 @@ def test_listing():
     assert "--acknowledge-odbl" in cli.run(["show-license", "openstreetmap"])
     with pytest.raises(LexiconError):
         cli.run(["prepare", "wiktionary", "--input", "a", "--output", "b", "--kind", "word-set"])
+
+
+MALFORMED = {
+    "wiktionary": "{broken", "wikidata": "{\"entities\": {", "discogs": "<artists><artist><name>x</name>", "gleif": "<a><b></a>", "ror": "[{\"name\": ", "musicbrainz": "nothing", "natural-earth": "{\"type\": \"x\"}",
+    "ud-german-gsd": "1\tonly\tthree", "geonames": "1\tonly", "openstreetmap": "{}", "orcid": "{broken", "gnd": "[", "getty": "{", "cldr": "{", "dbpedia": "[",
+}
+
+
+@pytest.mark.parametrize("name", sorted(MALFORMED))
+def test_malformed_input_is_an_error(spark, tmp_path, name):
+    assert set(MALFORMED) == set(SOURCES)
+    (tmp_path / "x").write_text(MALFORMED[name])
+    with pytest.raises(Exception, match="."):
+        files.records(spark, name, (tmp_path / "x").as_uri(), lang="de" if name == "wiktionary" else None).collect()
+
+
+@pytest.mark.parametrize("name", sorted(SOURCES))
+def test_null_blank_and_repeated_input(spark, name):
+    column = "value" if name in samples.LINES else "payload"
+    given = samples.LINES[name] if name in samples.LINES else [samples.DOCUMENTS[name]]
+    options = {"lang": "de"} if name == "wiktionary" else {}
+    once = samples.PARSERS[name](spark.createDataFrame([(x,) for x in given], f"{column} string"), **options)
+    more = spark.createDataFrame([(None, "a", "x")] + [(x, "a", "x") for x in given] * 2, f"{column} string, canonical string, x string")
+    twice = samples.PARSERS[name](more, **options)
+    one_a_name = name in ("wiktionary", "cldr")
+    assert _rows(twice) == sorted(_rows(once) * (1 if one_a_name else 2)) and twice.columns == ["canonical", "aliases", "score"]
+    assert samples.PARSERS[name](more.limit(0), **options).count() == 0
+
+
+def test_later_records_have_greater_numbers(spark, tmp_path):
+    for k, n in enumerate((3, 400, 20)):
+        names = [samples.LINES["geonames"][1].replace("Tarn", f"Tarn{'x' * (k % 2)} {k} {i}") for i in range(n)]
+        (tmp_path / f"{k}.tsv").write_text("\n".join([*names, samples.LINES["geonames"][1].replace("Tarn", "TARN" if k < 2 else "Tarn")]) + "\n")
+    rows = sorted(files.records(spark, "geonames", tmp_path.as_uri()).collect(), key=lambda r: r["rec_idx"])
+    assert [r["canonical"] for r in rows if r["canonical"].lower() == "tarn"] == ["TARN", "TARN", "Tarn"]
+    assert [int(r["canonical"].split(" ")[2]) for r in rows if " " in r["canonical"]] == [*range(3), *range(400), *range(20)]
+    built = prepare.build(files.records(spark, "geonames", tmp_path.as_uri()), "canonical-map")
+    assert built.filter("key = 'tarn'").first()["value"] == "Tarn"
+
+
+def test_wikidata_labels_of_other_languages(spark):
+    got = {lang: [(c, a) for c, a, _ in _rows(samples.PARSERS["wikidata"](samples.sample(spark, "wikidata"), lang=lang))] for lang in ("de", "fr")}
+    assert got["de"] == [("Itäsaari", ()), ("Nordwick-Damm", ())]
+    assert got["fr"] == [("Itäsaari", ()), ("Northwick Dam", ("barrage de Northwick",))]
+
+
+def plain_fold(name, spell):
+    """A letter at a time."""
+    import regex
+
+    strip = folding._table(folding.STRIPPED)
+    table = strip | folding._table(folding.SPELLED) if spell else strip
+    return "".join(table.get(c, c) for x in unicodedata.normalize("NFC", name) for c in x.lower() if regex.match(r"[\p{Alphabetic}\p{N}]", c))
+
+
+def test_folding_agrees_with_a_plain_loop(spark):
+    rng = random.Random(4)
+    letters = [chr(c) for c in (*range(32, 0x250), *range(0x300, 0x310), *range(0x370, 0x400), *range(0x400, 0x460), 0x1EBF, 0x1100, 0x1161, 0x212A, 0x212B, 0xFB1D, 0x958)] + ["Σ", "ς", "İ"]
+    names = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 12))) for _ in range(500)] + ["Mu\u0308nchen", "Strasse", "Straße", "Łódź", "Ærøskøbing", "Đakovo", "œuvre", "Þór", "мой", "ế", "e\u0302\u0301"]
+    df = folding.composed(spark.createDataFrame([(n, n) for n in names], "name string, c string"), "c")
+    for r in df.select("name", folding.folded(F.col("c"), False).alias("a"), folding.folded(F.col("c"), True).alias("b")).collect():
+        assert (r["a"], r["b"]) == (plain_fold(r["name"], False), plain_fold(r["name"], True)), r["name"]
+    assert plain_fold("Straße", False) == "strasse" and plain_fold("Łódź", False) == "lodz" and plain_fold("Ærøskøbing", True) == "aeroeskoebing" and plain_fold("мой", False) == "мой"
+
+
+def test_lexicons_of_null_and_repeated_records(spark):
+    rows = [(1, "Łódź", ["Lodz", None, "łódź"], 1.0, "x"), (1, "Łódź", ["Lodz", None, "łódź"], 1.0, "x"), (2, None, ["a"], 1.0, "x"), (3, "Tarn", None, 2.0, "x")]
+    records = spark.createDataFrame(rows, "rec_idx int, canonical string, aliases array<string>, score float, key string")
+    assert sorted((r["key"], r["value"]) for r in prepare.build(records, "canonical-map").collect()) == [("lodz", "Łódź"), ("tarn", "Tarn"), ("łódź", "Łódź")]
+    assert all(prepare.build(records.limit(0), kind).count() == 0 for kind in prepare.KINDS)
+    assert {r["key"] for r in prepare.build(records, "word-set").collect()} >= {"lodz", "łódź", "tarn"}
+
+
+def test_documents_of_too_many_entries(spark, tmp_path, monkeypatch):
+    lexicon = spark.createDataFrame([("word-set", "en", f"w{k}", None, None, 0) for k in range(9)], "kind string, locale string, key string, value string, score float, ord int")
+    monkeypatch.setattr(plugins, "MOST_ENTRIES", 8)
+    with pytest.raises(LexiconError, match="table"):
+        plugins.write_json_plugin(lexicon, str(tmp_path / "p.json"), "p", "word-set", "en")
+    plugins.write_table_plugin(lexicon, str(tmp_path / "t"))
+    assert plugins.read_table_plugin(spark, str(tmp_path / "t")).count() == 9

@@ -17,6 +17,7 @@ from ..operators.tokens import tokenize, tokens_of
 from ..options import CaseMode, CaseOptions, GermanMode, SeparatorStyle
 from ..sources import registry, samples
 from . import oracle as O
+from .source_sql import SOURCE_SQL
 
 LANGS = ("en", "de", "fr", "es")
 #: Stands for null languages and those without a profile.
@@ -214,6 +215,20 @@ def built(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return P.build(_records(spark, sf_dir), kind).select("key", "value", F.col("score").cast("double").alias("score"), F.col("ord").cast("long").alias("ord"))
 
 
+#: Names that fold in each way, under several records: (number, canonical form, aliases).
+FOLDING = [
+    (1, "Łódź", ["Lodz", "LODZ", "Lódź", "Boat"]), (2, "Straße des 17. Juni", ["Strasse des 17 Juni", "STRASSE", "strasse"]), (3, "Ærøskøbing", ["Aeroskobing", "Aeroeskoebing", "Aroskobing"]),
+    (4, "Đakovo", ["Dakovo", "Djakovo", "dakovo"]), (5, "Œuvre", ["oeuvre", "Ouvre"]), (6, "Þingvellir", ["Thingvellir", "Pingvellir"]), (7, "Åland", ["Aaland", "Aland", "ÅLAND"]),
+    (8, "Мой", ["Мои", "МОЙ"]), (9, "Mu\u0308nchen", ["Muenchen", "Munchen", "München", "Monaco"]), (10, "LODZ", ["Lodz"]), (11, "Monaco", ["MONACO", "Munich"]), (12, "ısparta", ["Isparta", "isparta"]),
+]
+
+
+def built_folding(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Lexicons of names whose letters have diacritics, with ties and keys of several records."""
+    records = spark.createDataFrame([(n, c, a, float(n % 3 + 1)) for n, c, a in FOLDING], "rec_idx long, canonical string, aliases array<string>, score float")
+    return P.build(records, kind).select("key", "value", F.col("score").cast("double").alias("score"), F.col("ord").cast("long").alias("ord"))
+
+
 def parsed_sample(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
     return samples.parse_sample(spark, source).select("canonical", F.array_join("aliases", "|").alias("aliases"), F.round(F.col("score").cast("double"), 4).alias("score"))
 
@@ -248,6 +263,7 @@ QUERIES |= {
     "separator_rewrite_emdash": partial(separators, style=SeparatorStyle.EM_DASH_SPACE),
 }
 QUERIES |= {f"build_{k.replace('-', '_')}": partial(built, kind=k) for k in P.KINDS}
+QUERIES |= {f"build_folding_{k.replace('-', '_')}": partial(built_folding, kind=k) for k in ("canonical-map", "ranked-candidates")}
 QUERIES |= {f"source_{k.replace('-', '_')}": partial(parsed_sample, source=k) for k in samples.PARSERS}
 
 _ALL = "SELECT doc_id AS key, text FROM documents"
@@ -310,7 +326,21 @@ SELECT 'canonical-map' AS kind, 'en' AS locale, key, CASE WHEN late THEN {_TITLE
 UNION ALL SELECT 'ranked-candidates', 'en', key, {_TITLED}, 1.0, 0 FROM n WHERE late UNION ALL SELECT 'ranked-candidates', 'en', key, key, 2.0, 0 FROM n WHERE NOT late
 UNION ALL SELECT 'ranked-candidates', 'en', key, upper(key), 1.5, 1 FROM n WHERE NOT late"""
 
+#: The pairs that FOLDING gives, stated in SQL: letters are folded by a list of replacements, spelled out or not.
+_STRIP = "strip_accents(replace(replace(replace(replace({}, 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), 'þ', 'th'))"
+_FOLD = "translate(" + _STRIP.format("regexp_replace(lower(nfc_normalize({})), '[^\\p{{L}}\\p{{N}}]', '', 'g')") + ", 'đłøı', 'dloi')"
+_SPELL = _FOLD.replace("lower(nfc_normalize({}))", "replace(replace(replace(replace(replace(lower(nfc_normalize({})), 'ä', 'ae'), 'ö', 'oe'), 'ø', 'oe'), 'ü', 'ue'), 'å', 'aa')")
+_SAME = " OR ".join(f"{a.format('a')} = {b.format('c')}" for a in (_FOLD, _SPELL) for b in (_FOLD, _SPELL))
+_FOLDED = (
+    "WITH r AS (SELECT * FROM (VALUES " + ", ".join(f"({n}, '{c}', [{', '.join(repr(x) for x in a)}], {n % 3 + 1}.0)" for n, c, a in FOLDING) + ") AS t(n, c, l, score)),\n"
+    # й is a letter of its own, which stripping would change
+    f"x AS (SELECT n, score, c, unnest(l) AS a FROM r), y AS (SELECT n, score, c, a, CASE WHEN c = 'Мой' THEN lower(a) = lower(c) ELSE {_SAME} END AS same FROM x),\n"
+    "e AS (SELECT n, score, lower(c) AS key, c AS value FROM r UNION SELECT n, score, lower(a), CASE WHEN same THEN c ELSE a END FROM y WHERE same OR lower(a) <> a)\n"
+)
+
 ORACLE_SQL = {
+    "build_folding_canonical_map": _FOLDED + "SELECT key, arg_max(value, (n, value)) AS value, NULL::DOUBLE AS score, 0 AS ord FROM e GROUP BY key",
+    "build_folding_ranked_candidates": _FOLDED + "SELECT key, value, score::DOUBLE AS score, row_number() OVER (PARTITION BY key ORDER BY score DESC, value) - 1 AS ord FROM (SELECT DISTINCT key, value, score FROM e QUALIFY coalesce(lag(value) OVER (PARTITION BY key ORDER BY score DESC, value), '') <> value)",
     "flagship": " UNION ALL ".join(f"({O.output(_OF[x], x)})" for x in LANGS),
     "token_counts_by_kind": O.tokens(_ALL) + " SELECT kind, count(*) AS n FROM k GROUP BY kind",
     "token_offsets_checksum": O.tokens(_ALL) + ", e AS (SELECT key, sum(strlen(raw)) OVER (PARTITION BY key ORDER BY pos) AS src_end FROM k) SELECT key AS doc_id, count(*) AS n, sum(src_end) AS sum_end, max(src_end) AS n_bytes FROM e GROUP BY key",
@@ -350,6 +380,7 @@ ORACLE_SQL = {
     "separator_rewrite_colon": _title_sql(": "),
     "separator_rewrite_dash": _title_sql(" - "),
     "separator_rewrite_emdash": _title_sql(" — "),
+    **{f"source_{k.replace('-', '_')}": sql for k, sql in SOURCE_SQL.items()},
     **{f"sentence_case_{x}": O.output(_OF[x], x) for x in LANGS},
     **{
         f"sentence_counts_{x}": O.contexts(_OF[x], x)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import lexicon as L
 from ..operators import prepare as P
 from ..sources.fetch import SourceManifest
-from ..sources.registry import require, source
+from ..sources.registry import LexiconError, require, source
 
 GENERATED = "1970-01-01T00:00:00Z"
 NAMES = {"canonical-map", "multiword-map", "protected-forms"}
@@ -24,6 +24,17 @@ def prepare(records: DataFrame, name: str, kind: str, locale: str = "und", ackno
     return P.build(records, kind).select(F.lit(kind).alias("kind"), F.lit(locale).alias("locale"), "key", "value", "score", "ord")
 
 
+#: Entries of a lexicon that may become one document, which is made on the driver; larger ones are written as tables.
+MOST_ENTRIES = 2_000_000
+
+
+def _collected(lexicon: DataFrame) -> list:
+    rows = lexicon.limit(MOST_ENTRIES + 1).collect()
+    if len(rows) > MOST_ENTRIES:
+        raise LexiconError(f"more than {MOST_ENTRIES} entries: write the lexicon as a table")
+    return rows
+
+
 def _payload(rows: list, kind: str):
     if kind == "word-set":
         return sorted(r["key"] for r in rows)
@@ -59,7 +70,7 @@ def _dump(document: dict, path: str | Path) -> dict:
 
 def write_prepared(lexicon: DataFrame, path: str, name: str, kind: str, locale: str = "und", manifest: SourceManifest | None = None) -> dict:
     """A prepared lexicon of the source ``name`` as one document, made on the driver like a JSON plugin."""
-    body = {"payload_kind": kind, "payload": _payload(lexicon.collect(), kind)}
+    body = {"payload_kind": kind, "payload": _payload(_collected(lexicon), kind)}
     return _dump({"name": f"{name}-{kind}", "kind": kind, "locale": locale, **described(name, manifest), "generated_at": GENERATED, "payload": body}, path)
 
 
@@ -70,13 +81,14 @@ def _plugin(name: str, kind: str, locale: str, payload, about: dict) -> dict:
 
 def write_json_plugin(lexicon: DataFrame, path: str, name: str, kind: str, locale: str) -> dict:
     """One document, made on the driver: for plugins that are to be shipped as a file, not for corpora."""
-    return _dump(_plugin(name, kind, locale, _payload(lexicon.collect(), kind), {}), path)
+    return _dump(_plugin(name, kind, locale, _payload(_collected(lexicon), kind), {}), path)
 
 
 def build_plugin(spark: SparkSession, prepared: str, path: str, form: str = "json") -> dict:
     """A prepared document as a plugin, JSON or table; returns the output's manifest.
 
-    A table has a metadata file ``<path>.meta.json`` beside it, and its checksum is the payload's.
+    A table has a metadata file ``<path>.meta.json`` beside it, and its checksum is the payload's. A table is of the
+    first locale alone (``und`` if there is none), a document of all.
     """
     given = json.loads(Path(prepared).read_text("utf-8"))
     payload = given["payload"]["payload"]
@@ -85,7 +97,7 @@ def build_plugin(spark: SparkSession, prepared: str, path: str, form: str = "jso
         _dump(document, path)
         checksum = hashlib.sha256(Path(path).read_bytes()).hexdigest()
     else:
-        write_table_plugin(_frame(spark, given["kind"], document["locales"], payload), path)
+        write_table_plugin(_frame(spark, given["kind"], document["locales"][:1] or ["und"], payload), path)
         _dump({k: v for k, v in document.items() if k not in ("payload", "payload_kind")}, f"{path}.meta.json")
         checksum = document["checksum"]
     return {"input": str(prepared), "output": str(path), "format": form, "checksum": checksum}

@@ -80,7 +80,7 @@ def _lines(parts: Iterable[bytes]) -> Iterator[str]:
 
 
 def opened(spark: SparkSession, name: str, *paths: str) -> DataFrame:
-    """Parser input of a source: ``value``, a line a row, or ``payload``, a document a row.
+    """Parser input of a source: ``value``, a line a row, or ``payload``, a document a row; ``at``, the file and place that it is from.
 
     Several files are several documents, or lines one after the other. An empty file is an
     empty document, or no line.
@@ -89,26 +89,27 @@ def opened(spark: SparkSession, name: str, *paths: str) -> DataFrame:
     by_line = name in LINES
     column = "value" if by_line else "payload"
     if by_line and not _packed(spark, paths):
-        return spark.read.text(list(paths))
+        return spark.read.text(list(paths)).select("value", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("at"))
 
     def run(batches):
         import pandas as pd
 
         for batch in batches:
-            for content in batch["content"]:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
                 parts = chunks(io.BytesIO(content), name)
                 if not by_line:
-                    yield pd.DataFrame({column: [b"".join(parts).decode()]})
+                    yield pd.DataFrame({column: [b"".join(parts).decode()], "file": path})
                     continue
                 held: list[str] = []
                 for line in _lines(parts):
                     held.append(line)
                     if len(held) == 10_000:
-                        yield pd.DataFrame({column: held})
+                        yield pd.DataFrame({column: held, "file": path})
                         held = []
-                yield pd.DataFrame({column: held}, dtype=object)
+                yield pd.DataFrame({column: held, "file": path}, dtype=object)
 
-    return spark.read.format("binaryFile").load(list(paths)).select("content").mapInPandas(run, f"{column} string")
+    read = spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInPandas(run, f"{column} string, file string")
+    return read.select(column, F.struct("file", F.lit(0).cast("long").alias("start")).alias("at"))
 
 
 def _packed(spark: SparkSession, paths: tuple[str, ...]) -> bool:
@@ -128,10 +129,18 @@ def _packed(spark: SparkSession, paths: tuple[str, ...]) -> bool:
 
 
 def records(spark: SparkSession, name: str, *paths: str, lang: str | None = None) -> DataFrame:
-    """``(rec_idx, canonical, aliases, score)`` of the files of a source; later records have greater numbers."""
+    """``(rec_idx, canonical, aliases, score)`` of the files of a source. ``rec_idx`` is greater for later records.
+
+    It is (file, start of the split, place in the split), so it doesn't depend on how splits are dealt to tasks. Where a
+    parser gives one row a name, names are in the order of their code points.
+    """
     options = {"lang": lang} if name in ("wikidata", "wiktionary") else {}
     parsed = PARSERS[name](opened(spark, name, *paths), **options)
-    return parsed.select(F.monotonically_increasing_id().alias("rec_idx"), "canonical", "aliases", "score")
+    if "at" in parsed.columns:  # records of a split stay in order and follow one another
+        number = F.struct("at.file", "at.start", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("n"))
+    else:
+        number = F.struct(F.col("canonical").alias("file"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("n"))
+    return parsed.select(number.alias("rec_idx"), "canonical", "aliases", "score")
 
 
 def validate(spark: SparkSession, name: str, *paths: str) -> None:
