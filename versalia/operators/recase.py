@@ -204,6 +204,7 @@ class Decided:
     first: object  # first word of its sentence
     shouting: object
     title_like: object
+    separators: object  # places of subtitle separators
 
 
 def decide(table: Table, texts: list[list[int]]) -> Decided:
@@ -332,7 +333,7 @@ def decide(table: Table, texts: list[list[int]]) -> Decided:
     phrases: dict[int, str] = {}
     if table.phrases:
         _phrases(table, np.flatnonzero(is_(OPENS, wf)), at, segment, text_of, cap, out, rules, start, phrases)
-    return Decided(t, f, marks, out, rules, start, phrases, boundary, sentence, (at, first), shouting, title_like)
+    return Decided(t, f, marks, out, rules, start, phrases, boundary, sentence, (at, first), shouting, title_like, seps)
 
 
 def _phrases(table: Table, openers, at, segment, text_of, cap, out, rules, start, phrases: dict[int, str]) -> None:
@@ -600,6 +601,42 @@ def analyze(docs: DataFrame, options: CaseOptions = CaseOptions(), key: str = "d
     return _each(plain, "text", "language" if language is not None else None, options, words, f"key {_key_type(plain)}, output string, confidence string, spans array<struct<{kinds}>>", make)
 
 
+def words(docs: DataFrame, options: CaseOptions = CaseOptions(), key: str = "doc_id", text: str = "text", language: Column | None = None) -> DataFrame:
+    """``(key, raw, lower, text, rule, starts, edge, after_separator, previous)``: a row per word of every text.
+
+    ``starts``: first of its sentence; ``edge``: first or last of its text; ``previous``: the lower-case word before it
+    with white space alone between them, else null. Words of a phrase have the phrase at its first word and empty
+    texts at the others. Null and empty texts give no row; keys may repeat or be null.
+    """
+    plain = _plain(docs, key, text, language)
+
+    def make(batch, rows, table, d):
+        import numpy as np
+        import pyarrow as pa
+
+        at, first = d.first
+        of = np.searchsorted(d.marks, at) - 1
+        shown = list(map(table.text.__getitem__, d.out[at].tolist()))
+        for k in np.flatnonzero(np.isin(at, list(d.phrases))) if d.phrases else ():
+            shown[k] = d.phrases[int(at[k])]
+        raw = d.tokens[at] * FORMS
+        low = list(map(table.text.__getitem__, (raw + LOW).tolist()))
+        segment = np.cumsum((d.flags & (PUNCT | SYMBOL)) != 0)[at]
+        joined = np.zeros(len(at), bool)
+        joined[1:] = (segment[1:] == segment[:-1]) & (of[1:] == of[:-1])
+        after = np.zeros(len(at), bool)
+        after[np.searchsorted(at, d.separators)] = True
+        edge = (np.diff(of, prepend=-1) != 0) | (np.diff(of, append=-1) != 0)
+        columns = [
+            batch.column("key").take(pa.array(np.array(rows, np.int64)[of])), pa.array(list(map(table.text.__getitem__, raw.tolist())), pa.string()), pa.array(low, pa.string()), pa.array(shown, pa.string()),
+            pa.DictionaryArray.from_arrays(pa.array(d.rule[at]), RULES).cast(pa.string()), pa.array(first), pa.array(edge), pa.array(after), pa.array(np.array([None, *low[:-1]], object)[: len(low)], pa.string(), mask=~joined),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["key", "raw", "lower", "text", "rule", "starts", "edge", "after_separator", "previous"])
+
+    kinds = "raw string, lower string, text string, rule string, starts boolean, edge boolean, after_separator boolean, previous string"
+    return _each(plain, "text", "language" if language is not None else None, options, NO_WORDS, f"key {_key_type(plain)}, {kinds}", make)
+
+
 _FACTS = ("n_tokens", "n_word", "n_space", "n_punct", "n_symbol", "n_bytes", "sum_end", "n_boundary", "n_starts", "last_sentence", "n_shouting", "n_title_like")
 
 

@@ -107,7 +107,38 @@ def _placed(s: DataFrame) -> DataFrame:
 
 
 #: What is put behind each text, so that phrases, separators and runs of white space occur.
-ADDED = " -  new york \n and Van der   Waals: san francisco; it 's the NEW york—end  "
+ADDED = " -  new york \n and Van der   Waals: san francisco; it 's the NEW york—end. Dr. Odo wrote Rust, not rust; see no. 7, 3.5 km etc. Then... And… so - IT ended  "
+
+
+def word_counts(spark: SparkSession, sf_dir: str, where: str, *by: str, mode: CaseMode = CaseMode.SENTENCE) -> DataFrame:
+    """Words of the English documents that meet a condition, counted by some of their columns."""
+    docs = _docs(spark, sf_dir, "en").select("doc_id", F.concat("text", F.lit(ADDED)).alias("text"))
+    return R.words(docs, CaseOptions(mode=mode)).filter(where).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def part_titles(spark: SparkSession, sf_dir: str, mode: CaseMode, text: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").selectExpr("p_partkey AS doc_id", f"{text} AS text")
+    return _named(R.recase(part, CaseOptions(mode=mode)))
+
+
+def geonames_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gazetteer lines made of parts, through the parser."""
+    fields = ["p_partkey", "p_name", "p_name", "p_brand", "0", "0", "substr('PASLTH', 1 + p_size % 6, 1)", "element_at(array('PPLC', 'PPLA', 'PPLA4', 'PPL', 'X'), int(1 + p_partkey % 5))", "''", "''", "''", "''", "''", "''", "p_size * 1000", "''", "''", "''", "''"]
+    lines = table(spark, sf_dir, "part").selectExpr(f"concat_ws('\t', {', '.join(fields)}) AS value")
+    return samples.PARSERS["geonames"](lines).select("canonical", F.array_join("aliases", "|").alias("aliases"), F.round(F.col("score").cast("double"), 4).alias("score"))
+
+
+def german_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotated tokens made of parts, through the parser."""
+    fields = ["'1'", "p_type", "p_name", "element_at(array('NOUN', 'PROPN', 'VERB'), int(1 + p_partkey % 3))", "'_'", "concat(if(p_size % 2 = 0, 'Case=Nom|', ''), if(p_size % 3 = 0, 'Gender=Fem|', ''), 'Number=', if(p_size % 5 = 0, 'Sing', 'Plur'))", "'0'", "element_at(array('nsubj', 'conj', 'obj', 'det'), 1 + p_size % 4)", "'_'", "if(p_size % 7 = 0, 'NE=B', '_')"]
+    lines = table(spark, sf_dir, "part").selectExpr(f"concat_ws('\t', {', '.join(fields)}) AS value")
+    return samples.PARSERS["ud-german-gsd"](lines).select("canonical", F.array_join("aliases", "|").alias("aliases"), F.round(F.col("score").cast("double"), 4).alias("score"))
+
+
+def json_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys and values of the JSON objects in the events."""
+    walked = table(spark, sf_dir, "events").select(F.explode(F.from_json("props", "map<string, string>")).alias("k", "v"))
+    return walked.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("v").alias("n_values"), F.min("v").alias("low"), F.max("v").alias("high"))
 
 
 def spans_changed(spark: SparkSession, sf_dir: str, options: CaseOptions) -> DataFrame:
@@ -237,7 +268,16 @@ QUERIES = {
     f.__name__: f
     for f in (flagship, token_counts_by_kind, token_offsets_checksum, reconstruct_roundtrip, rule_histogram, rule_histogram_all, checksum_text, sources_catalog)
 }
-QUERIES |= {f.__name__: f for f in (confidence_by_lang, analyzed, phrase_replace, german_aggressive)}
+QUERIES |= {f.__name__: f for f in (confidence_by_lang, analyzed, phrase_replace, german_aggressive, geonames_score, german_score, json_walk)}
+QUERIES |= {
+    "sentence_start_words": lambda spark, sf_dir: word_counts(spark, sf_dir, "starts", "lower"),
+    "previous_words": lambda spark, sf_dir: word_counts(spark, sf_dir, "previous IS NOT NULL", "previous", "lower"),
+    "edge_words": lambda spark, sf_dir: word_counts(spark, sf_dir, "edge", "lower"),
+    "separator_flags": lambda spark, sf_dir: word_counts(spark, sf_dir, "after_separator", "lower", "starts"),
+    "title_small_words": lambda spark, sf_dir: word_counts(spark, sf_dir, "rule = 'SmallWord'", "text", mode=CaseMode.TITLE),
+    "title_case_part": partial(part_titles, mode=CaseMode.TITLE, text="concat(p_name, ': the ', p_type, ' of ', p_brand)"),
+    "sentence_title": partial(part_titles, mode=CaseMode.SENTENCE_TITLE, text="concat(p_name, ' - ', p_type)"),
+}
 QUERIES |= {f"sentence_case_{x}": partial(recased, options=CaseOptions(locale=x)) for x in LANGS}
 QUERIES |= {f"sentence_counts_{x}": partial(sentence_counts, lang=x) for x in LANGS}
 QUERIES |= {
@@ -345,6 +385,20 @@ ORACLE_SQL = {
     "token_counts_by_kind": O.tokens(_ALL) + " SELECT kind, count(*) AS n FROM k GROUP BY kind",
     "token_offsets_checksum": O.tokens(_ALL) + ", e AS (SELECT key, sum(strlen(raw)) OVER (PARTITION BY key ORDER BY pos) AS src_end FROM k) SELECT key AS doc_id, count(*) AS n, sum(src_end) AS sum_end, max(src_end) AS n_bytes FROM e GROUP BY key",
     "reconstruct_roundtrip": f"SELECT count(*) AS n, count_if(array_to_string(regexp_extract_all(text, '{O.TOKEN}'), '') IS NOT DISTINCT FROM text) AS n_same, sum(len(regexp_extract_all(coalesce(text, ''), '{O.TOKEN}')))::BIGINT AS n_tokens FROM documents",
+    "sentence_start_words": O.contexts(_ADDED["en"], "en") + " SELECT low AS lower, count(*) AS n FROM t WHERE starts GROUP BY low",
+    "previous_words": O.contexts(_ADDED["en"], "en") + " SELECT pw AS previous, low AS lower, count(*) AS n FROM t WHERE kind = 'word' AND pw IS NOT NULL GROUP BY pw, low",
+    "edge_words": O.contexts(_ADDED["en"], "en") + " SELECT low AS lower, count(*) AS n FROM t WHERE kind = 'word' AND pos IN (ew, lw) GROUP BY low",
+    "separator_flags": O.contexts(_ADDED["en"], "en") + " SELECT low AS lower, starts, count(*) AS n FROM t WHERE kind = 'word' AND after_sep GROUP BY low, starts",
+    "title_small_words": O.cascade(_ADDED["en"], "en", title=True) + " SELECT text, count(*) AS n FROM c WHERE rule = 'SmallWord' GROUP BY text",
+    "title_case_part": O.output("SELECT p_partkey AS key, p_name || ': the ' || p_type || ' of ' || p_brand AS text FROM part", "en", title=True),
+    "sentence_title": O.output("SELECT p_partkey AS key, p_name || ' - ' || p_type AS text FROM part", "en", subtitle=True),
+    "geonames_score": """SELECT p_name AS canonical, CASE WHEN p_brand <> p_name THEN p_brand ELSE '' END AS aliases,
+      round(CASE substr('PASLTH', 1 + p_size % 6, 1) WHEN 'P' THEN 3.0 WHEN 'A' THEN 2.6 WHEN 'S' THEN 2.2 WHEN 'L' THEN 1.8 WHEN 'T' THEN 1.8 ELSE 1.2 END
+      + [1.0, 0.6, 0.6, 0.3, 0.0][1 + p_partkey % 5] + CASE WHEN p_size > 0 THEN log10(p_size * 1000) / 10 ELSE 0 END, 4)::DOUBLE AS score FROM part""",
+    "german_score": """SELECT CASE WHEN p_partkey % 3 = 1 THEN p_type ELSE upper(left(p_name, 1)) || substr(p_name, 2) END AS canonical, CASE WHEN p_type = p_name THEN p_type ELSE p_type || '|' || p_name END AS aliases,
+      round(CASE WHEN p_partkey % 3 = 1 THEN 3.0 ELSE 2.0 END + CASE WHEN p_size % 2 = 0 THEN 0.4 ELSE 0 END + CASE WHEN p_size % 3 = 0 THEN 0.1 ELSE 0 END + CASE WHEN p_size % 5 = 0 THEN 0.1 ELSE 0 END
+      + CASE WHEN p_size % 4 IN (0, 2) THEN 0.3 ELSE 0 END + CASE WHEN p_size % 7 = 0 THEN 0.5 ELSE 0 END, 4)::DOUBLE AS score FROM part WHERE p_partkey % 3 < 2""",
+    "json_walk": "SELECT k.key AS k, count(*) AS n, count(DISTINCT k.value->>'$') AS n_values, min(k.value->>'$') AS low, max(k.value->>'$') AS high FROM events, json_each(props::JSON) k GROUP BY k.key",
     "confidence_by_lang": "SELECT lang, confidence, count(*) AS n, sum(n_words)::BIGINT AS n_words FROM (" + " UNION ALL ".join(f"(SELECT lang, confidence, n_words FROM ({O.output(_OF[x], x)}) JOIN documents USING (doc_id))" for x in LANGS) + ") GROUP BY lang, confidence",
     "sentence_title_en": O.output(_OF["en"], "en", subtitle=True),
     "whitespace_collapse_flat": O.output(_SPREAD, "en", subtitle=True),

@@ -58,7 +58,7 @@ class SourceManifest:
 def built_in(name: str, lang: str | None = None, country: str | None = None) -> Plan:
     """The download of a source that has a fixed place."""
     if name not in BUILT_IN:
-        raise LexiconError(f"{source(name).id} does not have a built-in fetch workflow; give a URL")
+        raise LexiconError(f"no fixed address is known for {source(name).id}: give one")
     if name == "geonames":
         place = country.upper() if country else "allCountries"
         url = GEONAMES.format(place=place)
@@ -70,13 +70,13 @@ def built_in(name: str, lang: str | None = None, country: str | None = None) ->
         base = NATURAL_EARTH.format(release=NATURAL_EARTH_RELEASE)
         return Plan((f"{base}/ne_110m_admin_0_countries.geojson", f"{base}/ne_10m_populated_places_simple.geojson"), base, NATURAL_EARTH_RELEASE, "world")
     if not lang:
-        raise LexiconError(f"{name} built-in fetch requires a language")
+        raise LexiconError(f"the address of {name} depends on a language: give one")
     low = lang.lower()
     if name == "cldr":
         base = CLDR.format(release=CLDR_RELEASE, lang=lang)
         return Plan((f"{base}/territories.json", f"{base}/languages.json"), base, CLDR_RELEASE, low)
     if low != "en" and low not in WIKTIONARY_EDITIONS:
-        raise LexiconError(f"wiktionary built-in fetch does not support {lang}")
+        raise LexiconError(f"no edition of wiktionary in {lang} is known")
     url = WIKTIONARY_EN if low == "en" else WIKTIONARY.format(lang=low)
     return Plan((url,), url, f"kaikki-{low}", low)
 

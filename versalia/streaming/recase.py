@@ -1,8 +1,4 @@
-"""Recasing of a stream: the batch plan on each micro-batch.
-
-Streams allow no windows but those over time. Texts don't depend on each other, so each
-micro-batch can be recased as a table of its own, without state or a watermark.
-"""
+"""Recasing of a stream. Texts don't depend on each other, so there is no state and no watermark: a stream goes through the same pass as a table."""
 
 from __future__ import annotations
 
@@ -15,9 +11,6 @@ from ..options import CaseOptions
 
 
 def start_recasing(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, options: CaseOptions = CaseOptions(), key: str = "doc_id", text: str = "text"):
-    """Run the batch plan on each micro-batch of ``stream`` and hand ``(recased, batch id)`` to ``sink``."""
-
-    def each(batch: DataFrame, number: int) -> None:
-        sink(recase(batch, options, key, text), number)
-
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
+    """Recase ``stream`` and hand ``(recased, batch id)`` of each micro-batch to ``sink``; where the texts go
+    to a format that streams, ``recase(stream).writeStream`` needs no such function."""
+    return recase(stream, options, key, text).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).start()
