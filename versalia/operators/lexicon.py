@@ -1,4 +1,10 @@
-"""Lexicons as one long table ``(kind, locale, key, value, score, ord)`` and the lookups on it."""
+"""Lexicons as one long table ``(kind, locale, key, value, score, ord)`` and the lookups on it.
+
+Rows with a null kind, locale or key are never found. Where a key has several values, a locale goes before its
+language and a kind before the next; of repeated rows of one kind and locale the value is the one that Spark
+meets first, so lexicons should be built by ``prepare`` or merged by :func:`merge`. Empty lexicons find nothing.
+Other columns are not read.
+"""
 
 from __future__ import annotations
 

@@ -1,5 +1,9 @@
 """Recasing as one relational plan: generate tokens, windows per text, cascade, phrases, aggregate.
 
+``recase`` does the same in one pass without a shuffle; this plan is what tests hold it against, and it joins
+lexicons of any size. Keys must not repeat here (``recase`` sees to that). Null and empty texts give an empty output and
+no span; an empty table an empty result; other columns are not read.
+
 All windows partition by the key (or the key and a counter within it), so that one exchange by key
 serves them. Running frames only: look-ahead goes by ``lead`` or by a running frame in
 descending order, never by an unbounded following frame, which costs the square of a text's length.

@@ -24,12 +24,16 @@ def kind_of(raw: Column) -> Column:
 
 
 def tokenize(docs: DataFrame, key: str, text: str, outer: bool = False) -> DataFrame:
-    """``(key, pos, raw, kind)``; with ``outer``, texts without a token keep one row of nulls."""
+    """``(key, pos, raw, kind)``; with ``outer``, texts without a token keep one row of nulls.
+
+    Null and empty texts have no token; rows of equal or null keys give their tokens under that key; an empty table
+    gives none; other columns are not read.
+    """
     explode = F.posexplode_outer if outer else F.posexplode
     return docs.select(F.col(key).alias("key"), explode(tokens_of(F.col(text))).alias("pos", "raw")).withColumn("kind", kind_of(F.col("raw")))
 
 
 def reconstruct(tokens: DataFrame, text: str = "text") -> DataFrame:
-    """``(key, output)``: token texts joined in order."""
+    """``(key, output)``: token texts joined in order of ``pos``, a row per different key (null is one). Null texts add nothing."""
     ordered = F.sort_array(F.collect_list(F.struct("pos", text)))
     return tokens.groupBy("key").agg(F.array_join(F.transform(ordered, lambda t: t[text]), "").alias("output"))
