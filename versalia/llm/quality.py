@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, let
+from .common import SPACE, boxed, let
 
 #: Frequent function words of the languages the corpus is written in.
 STOP_WORDS = {
@@ -60,18 +60,27 @@ def _words(text: Column) -> Column:
 def _repeat_words(words: Column) -> Column:
     """Words that lie in a three-word window found at least twice; each counts once.
 
-    Windows are sorted with their places; equal neighbours are repeats. O(n log n) a text.
+    The places of windows are sorted by a 64-bit hash of the window; within a run of equal hashes, windows that
+    equal a neighbour in the order of words are repeats. O(n log n) a text.
     """
 
-    def repeated(windows: Column) -> Column:
-        def again(x: Column, i: Column) -> Column:
+    def window(i: Column) -> Column:
+        return F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+
+    def repeated(hashes: Column) -> Column:
+        def met(x: Column, i: Column) -> Column:
+            return (F.get(hashes, i - 1)["h"].eqNullSafe(x["h"])) | (F.get(hashes, i + 1)["h"].eqNullSafe(x["h"]))
+
+        def again(x: Column, i: Column, windows: Column) -> Column:
             return (F.get(windows, i - 1)["w"].eqNullSafe(x["w"])) | (F.get(windows, i + 1)["w"].eqNullSafe(x["w"]))
 
-        at = F.transform(F.filter(windows, again), lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))
+        # few windows are left; only for them the words are put together, so a clash of hashes can't count
+        some = F.sort_array(F.transform(F.filter(hashes, met), lambda x: F.struct(window(x["i"]).alias("w"), x["i"].alias("i"))))
+        at = let(some, lambda s: F.transform(F.filter(s, lambda x, i: again(x, i, s)), lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
         return F.size(F.array_distinct(F.flatten(at)))
 
-    windows = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.struct(F.concat_ws(" ", words[i], words[i + 1], words[i + 2]).alias("w"), i.alias("i")))
-    return F.when(F.size(words) < 4, 0).otherwise(let(F.sort_array(windows), repeated))
+    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")))
+    return F.when(F.size(words) < 4, 0).otherwise(let(F.sort_array(hashes), repeated))
 
 
 def metrics(text: Column) -> Column:
@@ -107,7 +116,7 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
     rules). A null or empty text has zeros everywhere and fails. Rows are judged one by one,
     so ties, repeated rows and empty tables need no rule. A column named ``quality`` is replaced.
     """
-    m = F.col("_m")
+    m = F.col("m")
     share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     values = {
         "n_words": m["n_words"],
@@ -118,7 +127,7 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
         "dup_line_share": share(m["n_dup_lines"], m["n_lines"]),
     }
     failed = lambda table: F.filter(F.array(*(F.when(r.fails(values[r.value]), F.lit(r.value)) for r in table)), lambda x: x.isNotNull())
-    return docs.withColumn("_m", metrics(F.col(text))).withColumn("_b", failed(base)).withColumn("_f", failed(rules)).withColumn(
-        "quality",
-        F.struct("_m.*", (F.size("_b") > 0).alias("base_failed"), (F.size("_b") + F.size("_f") == 0).alias("kept"), F.concat("_b", "_f").alias("failed")),
-    ).drop("_m", "_b", "_f")
+    told = docs.select(boxed(docs), metrics(F.col(f"`{text}`")).alias("m")).select("row", "m", failed(base).alias("b"), failed(rules).alias("f"))
+    verdict = F.struct("m.*", (F.size("b") > 0).alias("base_failed"), (F.size("b") + F.size("f") == 0).alias("kept"), F.concat("b", "f").alias("failed"))
+    kept = [c for c in docs.columns if c.lower() != "quality"]
+    return told.select(*(F.col(f"row.`{c}`") for c in kept), verdict.alias("quality"))
