@@ -440,12 +440,12 @@ def met_words(docs: DataFrame, text: str, language: str) -> DataFrame:
 
 
 def few_splits(docs: DataFrame) -> DataFrame:
-    """``docs``; rows of an input of fewer splits than there are cores are dealt out. Large inputs stay where they are."""
+    """``docs``; rows of an input of few splits, that would leave most cores idle, are dealt out. Large inputs stay where they are."""
     plan = docs._jdf.queryExecution()
     if docs.isStreaming or plan.executedPlan().nodeName() == "AdaptiveSparkPlan":  # counting would run its shuffles
         return docs
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if plan.toRdd().getNumPartitions() < cores else docs
+    return docs.repartition(cores) if 4 * plan.toRdd().getNumPartitions() <= cores else docs
 
 
 def _each(docs: DataFrame, text: str, language: str | None, options: CaseOptions, lexicon: Dictionary, schema: str, make: Callable) -> DataFrame:
