@@ -19,8 +19,8 @@ from .common import text_batches
 
 #: The pre-tokenizer's pattern, a fixed value of the format.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Cached strings and tested pairs a worker keeps; beyond it starts anew.
-CACHED = 120_000
+#: Strings that each half of a cache holds, and tested pairs that a worker keeps.
+CACHED, TESTED = 240_000, 400_000
 LONGEST_CACHED = 64
 #: Marks that end a word as a piece of their own.
 COMMON_ENDS = (".", ",", ";", ":", "?", "!")
@@ -110,22 +110,24 @@ class Encoder:
 
     def encode_piece(self, piece: str) -> bytes:
         """Ids of one piece, as int32 in native order."""
-        text = piece.encode().decode("latin-1")
+        text = piece if piece.isascii() else piece.encode().decode("latin-1")
         last = [-1] * (len(text) + 1)
         last[0] = 0
         pairs, size = self.pairs, self.size
         for end, (token, length) in self.suffixes.iter(text):
-            if last[end + 1] < 0:
-                before = end + 1 - length
-                if before:
-                    fit = pairs.get(last[before] << 20 | token)
-                    if fit is None:
-                        if len(pairs) >= CACHED:
-                            pairs.clear()
-                        fit = pairs[last[before] << 20 | token] = self.fits(last[before], token)
-                    if not fit:
-                        continue
-                last[end + 1] = token
+            end += 1
+            if last[end] >= 0:  # longer matches come first
+                continue
+            if end > length:
+                pair = last[end - length] << 20 | token
+                fit = pairs.get(pair)
+                if fit is None:
+                    if len(pairs) >= TESTED:
+                        pairs.clear()
+                    fit = pairs[pair] = self.fits(pair >> 20, token)
+                if not fit:
+                    continue
+            last[end] = token
         out, at = [], len(text)
         while at:
             out.append(last[at])
@@ -181,15 +183,18 @@ class _Runs(Exception):
 
 
 class _Cache(dict):
-    """Ids of strings met before, of short ones and not too many."""
+    """Ids of short strings met lately: when it is full it becomes the older half, of which strings met again come back."""
 
     def __init__(self, make, most: int) -> None:
-        self.make, self.most = make, most
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, text: str) -> bytes:
-        ids = self.make(text)
+        ids = self.older.get(text)
+        if ids is None:
+            ids = self.make(text)
         if len(text) <= LONGEST_CACHED:
             if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[text] = ids
         return ids
