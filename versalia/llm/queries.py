@@ -70,4 +70,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_mixing, op4_bpe, op5_packing, op6_secrets, op7_vectors, op8_quality, op9_chat, op10_warc)}
 
-ORACLE_SQL = {"op8_quality": oracle.OP8, "op9_chat": oracle.OP9, "op10_warc": oracle.OP10}
+ORACLE_SQL = {"op7_vectors": oracle.OP7, "op8_quality": oracle.OP8, "op9_chat": oracle.OP9, "op10_warc": oracle.OP10}
