@@ -38,8 +38,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     per = per.withColumn("weight", share).withColumn("cap", most * F.col("source_size").cast("double"))
     order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
     below = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
     everyone = Window.partitionBy()
+    # what follows is the whole without what is before: a frame up to the end would cost the square of the sources
+    rest = F.sum("weight").over(everyone) - F.coalesce(F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     per = per.withColumn("level", (F.sum("source_size").over(everyone) - below) / rest).withColumn("at", F.row_number().over(order))
     found = F.min(F.when(F.col("cap") / F.col("weight") > F.col("level"), F.struct("at", "level"))).over(everyone)["level"]
     level = F.coalesce(found, F.lit(float("inf")))
