@@ -445,7 +445,7 @@ def few_splits(docs: DataFrame) -> DataFrame:
     if docs.isStreaming or plan.executedPlan().nodeName() == "AdaptiveSparkPlan":  # counting would run its shuffles
         return docs
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if 4 * plan.toRdd().getNumPartitions() <= cores else docs
+    return docs.repartition(cores) if 2 * plan.toRdd().getNumPartitions() <= cores else docs
 
 
 def _each(docs: DataFrame, text: str, language: str | None, options: CaseOptions, lexicon: Dictionary, schema: str, make: Callable) -> DataFrame:
