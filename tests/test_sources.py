@@ -191,6 +191,48 @@ def test_lexicons_of_null_and_repeated_records(spark):
     assert {r["key"] for r in prepare.build(records, "word-set").collect()} >= {"lodz", "łódź", "tarn"}
 
 
+def plain_entries(records):
+    """The entries of each record, a pair of names at a time."""
+    for n, c, aliases, score in records:
+        yield n, score, c.lower(), c
+        for a in aliases:
+            if any(plain_fold(a, x) == plain_fold(c, y) for x in (False, True) for y in (False, True)):
+                yield n, score, a.lower(), c
+            elif a != a.lower():
+                yield n, score, a.lower(), a
+
+
+def test_lexicons_agree_with_a_plain_loop(spark):
+    rng = random.Random(5)
+    name = lambda: "".join(rng.choice(["a", "A", "ä", "Ae", "e\u0301", "é", "E", "ß", "ss", " ", "-", "й", "2"]) for _ in range(rng.randint(1, 3)))
+    records = [(n, name(), [name() for _ in range(3)], rng.choice([1.0, 2.0, 2.5])) for n in range(400)]
+    df = spark.createDataFrame(records, "rec_idx long, canonical string, aliases array<string>, score float").withColumn("alias", F.lit("not read"))
+    last, ranked = {}, {}
+    for n, score, key, value in plain_entries(records):
+        last[key] = max(last.get(key, (-1, "")), (n, value))
+        ranked.setdefault(key, set()).add((-score, value))
+    assert {r["key"]: r["value"] for r in prepare.build(df, "canonical-map").collect()} == {k: v for k, (_, v) in last.items()}
+    lists = {k: [x for before, x in zip([(0, None), *sorted(v)], sorted(v), strict=False) if before[1] != x[1]] for k, v in ranked.items()}
+    got = sorted((r["key"], r["ord"], r["value"], r["score"]) for r in prepare.build(df, "ranked-candidates").collect())
+    assert got == sorted((k, n, v, -s) for k, x in lists.items() for n, (s, v) in enumerate(x))
+
+
+@pytest.mark.parametrize("kind", ["canonical-map", "multiword-map", "ranked-candidates"])
+def test_names_are_folded_once_for_all_records_that_have_them(spark, kind):
+    records = spark.range(9).selectExpr("id AS rec_idx", "concat('Ärø ', id % 2) AS canonical", "array('aeroe 0', 'Ärö 1') AS aliases", "1.0F AS score")
+    lines = prepare.build(records, kind)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    below, folding_ = None, 0
+    for line in lines:
+        if below is not None and depth(line) <= below:
+            below = None
+        assert below is None or not any(x in line for x in ("regexp_replace", "RLIKE", "translate")), line
+        folding_ += "regexp_replace" in line
+        if below is None and line.lstrip(" :+-").startswith("Aggregate [canonical"):
+            below = depth(line)
+    assert folding_ and any("Aggregate [canonical" in x for x in lines)
+
+
 def test_documents_of_too_many_entries(spark, tmp_path, monkeypatch):
     lexicon = spark.createDataFrame([("word-set", "en", f"w{k}", None, None, 0) for k in range(9)], "kind string, locale string, key string, value string, score float, ord int")
     monkeypatch.setattr(plugins, "MOST_ENTRIES", 8)

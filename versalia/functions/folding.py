@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import cache
+from functools import cache, reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,6 +62,11 @@ def composable() -> str:
     return r"[\p{M}\x{1161}-\x{1175}\x{11A8}-\x{11C2}" + "".join(f"\\x{{{ord(c):X}}}" for c in others) + "]"
 
 
+def _ascii(*names: Column) -> Column:
+    """Whether all are of ASCII characters alone: a byte each."""
+    return F.least(*(F.octet_length(x) == F.length(x) for x in (names[0], *names)))
+
+
 def composed(df: DataFrame, *columns: str) -> DataFrame:
     """``df`` with the strings in ``columns`` in NFC. Spark has no function for it, so rows that it may change go through Python; no others do."""
 
@@ -71,11 +77,16 @@ def composed(df: DataFrame, *columns: str) -> DataFrame:
     import pandas as pd
 
     nfc.func.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    odd = F.greatest(*(F.coalesce(F.col(c).rlike(composable()), F.lit(False)) for c in (columns[0], *columns)))
+    # nothing before U+0300 composes, and the pattern takes long
+    odd = reduce(or_, (F.coalesce(F.col(c).rlike(r"[^\x00-\x{2FF}]") & F.col(c).rlike(composable()), F.lit(False)) for c in columns))
     return df.filter(~odd).unionByName(df.filter(odd).withColumns({c: nfc(c) for c in columns}))
 
 
 def same_spelling(a: Column, b: Column) -> Column:
-    """Whether composed names are equal when diacritics are stripped or spelled out on either side."""
+    """Whether composed names are equal when diacritics are stripped or spelled out on either side.
+
+    Names that differ by case alone are, and ASCII names have no diacritics; the others are folded.
+    """
     left, right = [folded(a, s) for s in (False, True)], [folded(b, s) for s in (False, True)]
-    return F.greatest(*(x == y for x in left for y in right))
+    plain = [F.regexp_replace(F.lower(x), "[^a-z0-9]", "") for x in (a, b)]
+    return F.when(F.lower(F.translate(a, "Σ", "σ")) == F.lower(F.translate(b, "Σ", "σ")), True).when(_ascii(a, b), plain[0] == plain[1]).otherwise(F.arrays_overlap(F.array(*left), F.array(*right)))
