@@ -1,4 +1,6 @@
+import pickle
 import random
+import weakref
 from collections import defaultdict
 
 import pytest
@@ -153,6 +155,53 @@ def test_no_exchange_for_inputs_of_enough_splits(spark):
     assert "Exchange" not in plan and "Window" not in plan
 
 
+def test_tables_of_all_languages_are_bounded_together(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(R, "REMEMBERED", 60)
+    batches = [pa.RecordBatch.from_pydict({"text": [" ".join(f"w{n}x{k}" for k in range(10)) for _ in R.RULES[:4]], "language": ["en", "de", "fr", "es"]}) for n in range(20)]
+    alive, sizes = weakref.WeakSet(), []
+
+    class Seen(R.Table):
+        __hash__ = object.__hash__
+
+        def __init__(self, *given):
+            super().__init__(*given)
+            alive.add(self)
+
+    monkeypatch.setattr(R, "Table", Seen)
+    monkeypatch.setattr(R, "few_splits", lambda docs: type("Kept", (), {"mapInArrow": staticmethod(lambda run, schema: run)}))
+    run = R._each(spark.range(1), "text", "language", CaseOptions(), R.NO_WORDS, "", lambda batch, rows, table, d: R.written(table, d))
+    for texts in run(iter(batches)):
+        assert texts[0].startswith("W")
+        sizes.append(sum(map(len, alive)))
+    assert len(sizes) == 80 and max(sizes) <= 60 + 2 * 11
+
+
+def test_lexicons_are_held_once_and_small(spark):
+    words = {f"word{k}": f"Word{k}" for k in range(20_000)}
+    sent = R.Dictionary(words, {"word1 word2": "Word 1-2"}, {})
+    tables = [R.Table(CaseOptions(locale=x), sent) for x in ("en", "fr", "es")]
+    assert all(len(t.listed) < 2000 for t in tables)
+    assert len(pickle.dumps(sent)) < 900_000
+    table = tables[0]
+    find = R.token_finder()
+    texts = ["so word7 met word1 word2 and new york", "word20000"]
+    d = R.decide(table, [[table[x] for x in find(t)] for t in texts])
+    assert R.written(table, d) == ["So Word7 met Word 1-2 and New York", "Word20000"]
+
+
+def test_workers_get_few_rows_at_once(spark):
+    name, docs = "spark.sql.execution.arrow.maxRecordsPerBatch", _docs(spark, ["a b"])
+    before = spark.conf.get(name)
+    try:
+        for told, held in (("10000", "1000"), ("0", "1000"), ("7", "7")):
+            spark.conf.set(name, told)
+            assert recase(docs).count() == 1 and spark.conf.get(name) == held
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_tokens_of_latin_texts():
     import regex
 

@@ -10,11 +10,14 @@ together, and lexicons too large to send to workers go by it.
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from string import punctuation
+from zlib import crc32
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import words as W
@@ -26,8 +29,10 @@ from .tokens import PUNCTUATION
 
 #: Characters of texts that are decided at once; a longer text is a batch of its own.
 AT_ONCE = 1 << 18
-#: Different tokens that a worker remembers; beyond it starts anew.
-REMEMBERED = 200_000
+#: Different tokens, and characters of them, that a worker remembers over all languages; beyond it starts anew.
+REMEMBERED, REMEMBERED_CHARS = 200_000, 1 << 22
+#: Rows that are sent to a worker at once: texts are long, and the session's default is 10,000.
+BATCH_ROWS = 1000
 #: Rows and characters of a lexicon that are sent to every worker. Larger ones are first cut to the words that occur.
 SENT_ROWS, SENT_CHARS = 400_000, 1 << 24
 #: Names of rules; numbers are places in this list, 0 is no rule.
@@ -69,13 +74,47 @@ FIXED = 5
 NOTHING, BLANK, FEED, REWRITTEN = (k * FORMS for k in range(1, FIXED))
 
 
-@dataclass(frozen=True)
+def _checksum(key: str) -> int:
+    return crc32(key.encode())
+
+
+class Entries:
+    """Strings by strings, in arrays in order of the keys' checksums: every worker has a lexicon in memory, and a dict takes several times as much."""
+
+    def __init__(self, entries: dict[str, str | None]) -> None:
+        import pyarrow as pa
+
+        keys = sorted(entries, key=_checksum)
+        self.sums = array("I", map(_checksum, keys))
+        self.keys, self.values = pa.array(keys, pa.string()), pa.array([entries[k] for k in keys], pa.string())
+
+    def __len__(self) -> int:
+        return len(self.sums)
+
+    def place(self, key: str) -> int | None:
+        told = _checksum(key)
+        n = bisect_left(self.sums, told)
+        while n < len(self.sums) and self.sums[n] == told:
+            if self.keys[n].as_py() == key:
+                return n
+            n += 1
+        return None
+
+    def __contains__(self, key: str) -> bool:
+        return self.place(key) is not None
+
+    def get(self, key: str) -> str | None:
+        n = self.place(key)
+        return None if n is None else self.values[n].as_py()
+
+
 class Dictionary:
     """A lexicon in the form that workers look things up in, for one locale."""
 
-    forms: dict[str, str]
-    phrases: dict[str, str]
-    best: dict[str, str]
+    def __init__(self, forms: dict[str, str], phrases: dict[str, str], best: dict[str, str]) -> None:
+        self.forms, self.phrases, self.best = Entries(forms), Entries(phrases), Entries(best)
+        self.openers = Entries(dict.fromkeys(k.split(" ")[0] for k in phrases))
+        self.longest = max((k.count(" ") + 1 for k in phrases), default=0)
 
 
 NO_WORDS = Dictionary({}, {}, {})
@@ -95,18 +134,20 @@ class Table(dict):
         self.title = options.mode is CaseMode.TITLE
         self.profile = p = profile(self.lang)
         known = options.preserve_known_proper_nouns
-        self.forms = BUILTIN_FORMS | lexicon.forms if known else {}
-        self.phrases = BUILTIN_PHRASES | lexicon.phrases if known else {}
-        self.openers = {k.split(" ")[0] for k in self.phrases}
-        self.longest = max((k.count(" ") + 1 for k in self.phrases), default=0)
+        self.known = known
+        self.has_phrases = known and bool(BUILTIN_PHRASES or lexicon.phrases)
+        self.openers = {k.split(" ")[0] for k in BUILTIN_PHRASES} if known else set()
+        self.longest = max(lexicon.longest, *(k.count(" ") + 1 for k in BUILTIN_PHRASES)) if known else 0
         self.nouns = self.lang == "de" and options.german_mode >= GermanMode.BALANCED
-        self.best = lexicon.best if self.nouns and options.german_mode is GermanMode.AGGRESSIVE else {}
+        self.best = bool(lexicon.best) and self.nouns and options.german_mode is GermanMode.AGGRESSIVE
+        self.chars = 0
+        self.searched = known and bool(lexicon.forms or lexicon.phrases)
         #: bits of single words, by their lower-case form
         self.listed: dict[str, int] = {}
         always = ["i", "i'm", "i'll", "i've", "i'd"] if self.lang == "en" and not self.title else []
         lists = [(SMALL, (*p.stop, *p.particles)), (TITLE_ABBR, p.title), (NUMERIC_ABBR, p.numeric), (TRAILING_ABBR, p.trailing), (ALWAYS, (*always, *(x.replace("'", "’") for x in always[1:])))]
-        lists += [(OPENS, self.openers), (KNOWN, self.forms), (UNSURE, [x for x in BUILTIN_AMBIGUOUS if known and x not in lexicon.forms])]
-        lists += [(ARTICLE, GERMAN_ARTICLES), (ADVERB, GERMAN_AMBIGUOUS), (BEST, self.best)] if self.nouns else []
+        lists += [(OPENS, self.openers), (KNOWN, BUILTIN_FORMS if known else ()), (UNSURE, [x for x in BUILTIN_AMBIGUOUS if known and x not in lexicon.forms])]
+        lists += [(ARTICLE, GERMAN_ARTICLES), (ADVERB, GERMAN_AMBIGUOUS)] if self.nouns else []
         for bit, words in lists:
             for w in words:
                 self.listed[w] = self.listed.get(w, 0) | bit
@@ -143,8 +184,15 @@ class Table(dict):
         bits, forms = self.described(raw)
         self.bits.append(bits)
         self.text += forms
+        self.chars += len(raw)
         return n
 
+    def phrase(self, key: str) -> str | None:
+        return self.lexicon.phrases.get(key) if key in self.lexicon.phrases else BUILTIN_PHRASES.get(key)
+
+    def opens(self, low: str) -> bool:
+        return low in self.openers or (self.searched and low in self.lexicon.openers)
+
     def classes(self, raw: str) -> int:
         """Bits that follow from the characters of a word. Most words are letters of one case, with or without a capital."""
         if raw.isalpha():
@@ -173,17 +221,21 @@ class Table(dict):
             return bits, [raw] * FORMS
         lang, low = self.lang, W.lower(raw, self.lang)
         bits = self.classes(raw) | self.listed.get(low, 0) | CASED * (raw != low)
+        if self.searched:
+            bits |= KNOWN * (low in self.lexicon.forms) | OPENS * (low in self.lexicon.openers)
         capital = W.capitalize(raw, lang)
+        low, capital = raw if low == raw else low, raw if capital == raw else capital  # one string for equal ones
         forms = [raw, low, capital, raw, raw, raw, raw, raw]
         if self.title:
             forms[SHOWN] = capital if raw.isalnum() else W.titlecase(raw, lang, self.profile)
             forms[EDGE] = W.upper_first(forms[SHOWN], lang)
         if bits & KNOWN:
-            forms[FORM] = self.forms[low]
-            bits |= OPENS * (W.lower(forms[FORM], lang) in self.openers)
+            forms[FORM] = self.lexicon.forms.get(low) if low in self.lexicon.forms else BUILTIN_FORMS[low]
+            bits |= OPENS * self.opens(W.lower(forms[FORM], lang))
         if self.nouns:
             bits |= ADVERB * (len(low.encode()) <= 2) | NOUN * low.endswith(GERMAN_NOUN_ENDS)
-            forms[GERMAN] = self.best[low] if bits & BEST else capital
+            bits |= BEST * (self.best and low in self.lexicon.best)
+            forms[GERMAN] = self.lexicon.best.get(low) if bits & BEST else capital
             forms[LIFTED] = W.upper_first(forms[GERMAN], lang)
         return bits, forms
 
@@ -273,7 +325,7 @@ def decide(table: Table, texts: list[list[int]]) -> Decided:
         cap[np.searchsorted(at, seps)] = True  # a word stands after a separator
     text_of = np.searchsorted(marks, at)
     plain = ~shouting & ~title_like
-    segment = np.cumsum(is_(PUNCT | SYMBOL), dtype=np.int32)[at] if lang == "de" or table.phrases else None
+    segment = np.cumsum(is_(PUNCT | SYMBOL), dtype=np.int32)[at] if lang == "de" or table.has_phrases else None
 
     # the cascade: later lines come first
     form = np.full(len(at), LOW, np.int32)
@@ -331,7 +383,7 @@ def decide(table: Table, texts: list[list[int]]) -> Decided:
         rules[spaces[changed]] = NUMBER["WhitespaceCollapsed"]
 
     phrases: dict[int, str] = {}
-    if table.phrases:
+    if table.has_phrases:
         _phrases(table, np.flatnonzero(is_(OPENS, wf)), at, segment, text_of, cap, out, rules, start, phrases)
     return Decided(t, f, marks, out, rules, start, phrases, boundary, sentence, (at, first), shouting, title_like, seps)
 
@@ -348,7 +400,7 @@ def _phrases(table: Table, openers, at, segment, text_of, cap, out, rules, start
             last += 1
         keys = [key(k) for k in range(w, last + 1)]
         for size in range(len(keys), 1, -1):
-            value = table.phrases.get(" ".join(keys[:size]))
+            value = table.phrase(" ".join(keys[:size]))
             if value is not None:
                 a, z = int(at[w]), int(at[w + size - 1])
                 phrases[a] = W.upper_first(value, lang) if cap[w] else value
@@ -436,6 +488,7 @@ def met_words(docs: DataFrame, text: str, language: str) -> DataFrame:
                 seen.update(find(x.as_py() or ""))
             yield pa.RecordBatch.from_arrays([pa.array({W.lower(x, language) for x in seen if word(x)}, pa.string())], ["key"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "key string").distinct()
 
 
@@ -448,6 +501,13 @@ def few_splits(docs: DataFrame) -> DataFrame:
     return docs.repartition(cores) if 2 * plan.toRdd().getNumPartitions() <= cores else docs
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Workers get at most ``BATCH_ROWS`` rows at a time; a smaller number of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def _each(docs: DataFrame, text: str, language: str | None, options: CaseOptions, lexicon: Dictionary, schema: str, make: Callable) -> DataFrame:
     """``make(batch, rows, table, decided)`` for the texts of each language in each batch: ``rows`` are their places in it."""
     sent = docs.sparkSession.sparkContext.broadcast((options, lexicon))
@@ -458,10 +518,11 @@ def _each(docs: DataFrame, text: str, language: str | None, options: CaseOptions
 
         def table_of(lang: str | None) -> Table:
             lang = options.locale if lang is None else lang
-            table = tables.get(lang)
-            if table is None or len(table) > REMEMBERED:
-                table = tables[lang] = Table(replace(options, locale=lang), lexicon)
-            return table
+            if sum(map(len, tables.values())) > REMEMBERED or sum(t.chars for t in tables.values()) > REMEMBERED_CHARS:
+                tables.clear()
+            if lang not in tables:
+                tables[lang] = Table(replace(options, locale=lang), lexicon)
+            return tables[lang]
 
         for batch in batches:
             texts = batch.column(text)
@@ -481,6 +542,7 @@ def _each(docs: DataFrame, text: str, language: str | None, options: CaseOptions
                         held, size, first = [], 0, n
                         table = table_of(lang)
 
+    small_batches(docs.sparkSession)
     return few_splits(docs).mapInArrow(run, schema)
 
 
